@@ -7,24 +7,38 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from ..sources.tables import table
-from . import bpe, mixing, quantiles, topn
+from . import bpe, formatdup, mixing, neardup, quantiles, topn
 
 PERCENTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
 
 def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of both savings columns per command type, from the sketches of its days."""
-    runs = table(spark, d, "token_saver_runs").withColumn("day", F.to_date("created_at"))
-    days = quantiles.sketches(runs, ["command_type", "day"], ["savings_percent", "estimated_saved_tokens"])
-    whole = quantiles.merge_sketches(days, ["command_type", "metric"])
-    return quantiles.percentiles(whole, ["command_type", "metric"], PERCENTILES)
+    """Percentiles of both savings columns per command type and day, and, from the sketches of the days, per month and over all days."""
+    runs = table(spark, d, "token_saver_runs").withColumn("day", F.date_format("created_at", "yyyy-MM-dd"))
+    days = written(quantiles.sketches(runs, ["command_type", "day"], ["savings_percent", "estimated_saved_tokens"]), "days")
+    keys, out = ["command_type", "period", "metric"], None
+    for period in (F.col("day"), F.substring("day", 1, 7), F.lit("all")):
+        part = days.withColumn("period", period)
+        part = quantiles.percentiles(quantiles.merge_sketches(part, keys), keys, PERCENTILES)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-def p1_monthly(spark: SparkSession, d: str) -> DataFrame:
-    """The same per command type and month."""
-    runs = table(spark, d, "token_saver_runs").withColumn("month", F.date_format("created_at", "yyyy-MM"))
-    months = quantiles.sketches(runs, ["command_type", "month"], ["savings_percent", "estimated_saved_tokens"])
-    return quantiles.percentiles(months, ["command_type", "month", "metric"], PERCENTILES)
+def _format_copies(spark: SparkSession, d: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    o = table(spark, d, "observations").select(F.lit("observations").alias("part"), "id", "title", "content")
+    u = table(spark, d, "user_prompts").select(F.lit("user_prompts").alias("part"), "id", none.alias("title"), "content")
+    return formatdup.format_copies(o.unionByName(u), ["title", "content"])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    copies = _format_copies(spark, d).filter("id <> first_id")
+    return copies.select(F.col("part").alias("record_table"), "first_id", F.col("id").alias("copy_id"))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row per record that has copies: the first of its group and the number of copies, itself included."""
+    return _format_copies(spark, d).groupBy(F.col("part").alias("record_table"), "first_id").agg(F.count(F.lit(1)).alias("copies"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -40,6 +54,19 @@ QUALIFY row_number() OVER (PARTITION BY project, type ORDER BY created_at DESC N
 """
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.similar_pairs(table(spark, d, "observations"), ["title", "content"], threshold=0.6, size=3)
+
+
+def p7_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every observation with the class of its word set, the size of that class, and the class's number of similar classes."""
+    members, links = neardup.similar_classes(table(spark, d, "observations"), ["title", "content"], threshold=0.6, size=3)
+    links = written(links, "links")
+    degree = links.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("links"))
+    sizes = members.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("class_id"))
+    return members.join(sizes.join(degree, "digest", "left"), "digest").select("id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"), "text", ["doc_id"])
 
@@ -62,5 +89,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(written(_mix(spark, d), "mix"), table(spark, d, "mix_targets"))
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p1_monthly": p1_monthly, "p4_found": p4_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p1_percentiles": p1_percentiles, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p7_found": p7_found, "p7_classes": p7_classes, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
 SQL = {"p4_found": _P4_FOUND}
