@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from ..sources.tables import table
-from . import bpe, formatdup, mixing, neardup, quantiles, topn
+from . import bpe, formatdup, mixing, neardup, pii, quantiles, topn, truncation
 
 PERCENTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
@@ -54,6 +54,30 @@ QUALIFY row_number() OVER (PARTITION BY project, type ORDER BY created_at DESC N
 """
 
 
+def _contents(spark: SparkSession, d: str) -> DataFrame:
+    parts = [table(spark, d, t).select(F.lit(t).alias("part"), "id", F.col("content").alias("text")) for t in ("observations", "user_prompts")]
+    return parts[0].unionByName(parts[1])
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.occurrences(_contents(spark, d))
+    return found.select(F.col("part").alias("record_table"), F.col("id").alias("record_id"), F.col("kind").alias("pii_kind"), F.col("no").alias("occurrence_no"))
+
+
+#: Key of the replacements; a real run passes its own secret.
+KEY = "basalt"
+
+
+def p6_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Every content with typed, keyed placeholders instead of personal data."""
+    return pii.masked(_contents(spark, d), KEY).withColumnRenamed("part", "record_table").withColumnRenamed("id", "record_id")
+
+
+def p6_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    """Every content with keyed surrogates of the same form instead of personal data."""
+    return pii.masked(_contents(spark, d), KEY, surrogates=True).withColumnRenamed("part", "record_table").withColumnRenamed("id", "record_id")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.similar_pairs(table(spark, d, "observations"), ["title", "content"], threshold=0.6, size=3)
 
@@ -89,5 +113,19 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(written(_mix(spark, d), "mix"), table(spark, d, "mix_targets"))
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p7_found": p7_found, "p7_classes": p7_classes, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "documents")).select("doc_id")
+
+
+def p10_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Per source the number of texts, of cut texts, of those at a length limit, and the share cut."""
+    docs = table(spark, d, "documents")
+    cut = truncation.truncated(docs).groupBy("source").agg(F.count(F.lit(1)).alias("cut"), F.count_if("at_limit").alias("cut_at_limit"))
+    every = docs.groupBy("source").agg(F.count(F.lit(1)).alias("texts"))
+    out = every.join(cut.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
+    n = F.coalesce("cut", F.lit(0))
+    return out.select("source", "texts", n.alias("cut"), F.coalesce("cut_at_limit", F.lit(0)).alias("cut_at_limit"), (n / F.col("texts")).alias("share"))
+
+
+QUERIES = {"p1_percentiles": p1_percentiles, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p6_found": p6_found, "p6_masked": p6_masked, "p6_surrogates": p6_surrogates, "p7_found": p7_found, "p7_classes": p7_classes, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sources": p10_sources}
 SQL = {"p4_found": _P4_FOUND}
