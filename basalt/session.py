@@ -50,14 +50,14 @@ def hot_keys(df: DataFrame, key: str, at_least: int = 10_000) -> list:
     return [r[0] for r in rows]
 
 
-def join_with_hot_keys(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def join_with_hot_keys(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: list | None = None) -> DataFrame:
     """left join right on one key (inner or left), where few keys may hold most of left.
 
     right has few rows per key. Rows of hot keys of left meet a broadcast of right's rows of
     those keys (fewer than HOT_KEYS of them); all others meet in a shuffle join, which then
-    has no key of more than 1/HOT_KEYS of the rows.
+    has no key of more than 1/HOT_KEYS of the rows. Loops that join one left side often count its hot keys once.
     """
-    hot = hot_keys(left, key)
+    hot = hot_keys(left, key) if hot is None else hot
     if not hot:
         return left.join(right, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
