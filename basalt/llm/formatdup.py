@@ -24,7 +24,7 @@ from ..session import written
 
 #: Names of labelled fields (fixed values of the data).
 LABELS = ("what", "why", "where", "learned", "next", "impact", "task", "file", "symbol", "ticket", "limit")
-_START = re.compile(r"(?:^|[\n\r{|·;,.?!…\"”)}\]])[^\w\n\r]*$")
+_START = re.compile(r"(?:^|[\n\r{|·;,.?!…\"”)}\]:]|\s[-–—‑]\s)[^\w\n\r]*$")
 _ESCAPE = re.compile(r"\\(u[0-9a-f]{4}|.)", re.I)
 _DROP = re.compile(r"[\W_]+")
 _M = (1 << 128) - 1
