@@ -24,6 +24,8 @@ from ..session import join_with_hot_keys, written
 SLACK = 14
 #: A spike holds at least this many texts, and this many times what as many lengths below it hold on average.
 LEAST, TIMES = 3, 4.0
+#: Of fewer different texts no limit is told.
+TEXTS = 20
 #: One length of at least this many texts, and this many times the average of the lengths around it, is a limit too.
 PEAK, PEAK_TIMES = 5, 12.0
 #: A word ends lines if it ends at least this share of the lines in which it appears as a word.
@@ -118,8 +120,8 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             word.append(b)
             size.append(len(t.encode("utf-8", "surrogatepass")))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("source"), batch.column("chars"), pa.array(size, pa.int64()), pa.array(state, pa.string()), pa.array(word, pa.string())],
-            names=["doc_id", "source", "chars", "bytes", "state", "word"],
+            [batch.column("doc_id"), batch.column("source"), batch.column("chars"), batch.column("hash"), pa.array(size, pa.int64()), pa.array(state, pa.string()), pa.array(word, pa.string())],
+            names=["doc_id", "source", "chars", "hash", "bytes", "state", "word"],
         )
 
 
@@ -138,13 +140,15 @@ def _line_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def limits(lengths: DataFrame) -> DataFrame:
-    """source, unit, least, most: the ranges of lengths at which a source's texts are cut. lengths: source, unit, length, one row per text.
+    """source, unit, least, most: the ranges of lengths at which a source's texts are cut. lengths: source, unit, length and the text's hash, one row per text.
+
+    A text that was delivered many times counts once, else its copies would make a spike.
 
     At the maximum a spike may spread over SLACK lengths; below it (where a source changed its limit) it has to
     be one length.
     """
-    hist = lengths.groupBy("source", "unit", "length").agg(F.count(F.lit(1)).alias("n"))
-    top = hist.groupBy("source", "unit").agg(F.max("length").alias("most"))
+    hist = lengths.groupBy("source", "unit", "length").agg(F.count_distinct("hash").alias("n"))
+    top = hist.groupBy("source", "unit").agg(F.max("length").alias("most"), F.sum("n").alias("texts")).filter(F.col("texts") >= TEXTS).drop("texts")
     near = hist.join(top, ["source", "unit"]).groupBy("source", "unit", "most").agg(
         F.sum(F.when(F.col("length") > F.col("most") - SLACK, F.col("n")).otherwise(0)).alias("at"),
         F.sum(F.when((F.col("length") <= F.col("most") - SLACK) & (F.col("length") > F.col("most") * 0.6 - SLACK), F.col("n")).otherwise(0)).alias("below"),
@@ -163,15 +167,18 @@ def truncated(docs: DataFrame) -> DataFrame:
     limits but may be cut by their end. Texts are looked at whole. Repeated rows give repeated rows.
     """
     texts = docs.filter(F.col("text").isNotNull() & (F.length(F.trim(F.regexp_replace("text", r"[\s\x{00A0}\x{3000}\x{FEFF}\x{200B}-\x{200D}]+", ""))) > 0))
-    texts = texts.select("doc_id", "source", F.length("text").cast("long").alias("chars"), "text")
-    ends = written(texts.mapInArrow(_endings, "doc_id long, source string, chars long, bytes long, state string, word string"), "endings")
+    texts = texts.select("doc_id", "source", F.length("text").cast("long").alias("chars"), F.xxhash64("text").alias("hash"), "text")
+    ends = written(texts.mapInArrow(_endings, "doc_id long, source string, chars long, hash long, bytes long, state string, word string"), "endings")
     unit = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length"))))
-    lengths = ends.filter(F.col("source").isNotNull()).select("source", unit.alias("u")).select("source", "u.unit", "u.length")
+    lengths = ends.filter(F.col("source").isNotNull()).select("source", "hash", unit.alias("u")).select("source", "hash", "u.unit", "u.length")
     found = limits(lengths).groupBy("source").agg(F.collect_set(F.struct("unit", "least", "most")).alias("limits"))
     unsure = ends.filter(F.col("state").isin("dots", "open", "line"))
     met = join_with_hot_keys(unsure, found, "source", "left")
-    within = F.exists("limits", lambda x: F.when(x["unit"] == "chars", F.col("chars")).otherwise(F.col("bytes")).between(x["least"], x["most"]))
-    met = met.withColumn("at_limit", F.coalesce(within, F.lit(False))).drop("limits")
+    size = lambda x: F.when(x["unit"] == "chars", F.col("chars")).otherwise(F.col("bytes"))
+    within = F.exists("limits", lambda x: size(x).between(x["least"], x["most"]))
+    # a line may well end near the limit; only one that ends right at it needs no look at its last word
+    right_at = F.exists("limits", lambda x: size(x) == x["most"])
+    met = met.withColumn("at_limit", F.coalesce(F.when(F.col("state") == "line", right_at).otherwise(within), F.lit(False))).drop("limits")
     words = texts.select("text").mapInArrow(_line_words, "word string, ends long, uses long").groupBy("word").agg(F.sum("ends").alias("ends"), F.sum("uses").alias("uses"))
     usual = words.filter((F.col("ends") >= 1) & ((F.col("uses") == 0) | (F.col("ends") >= F.col("uses") * LINE_END_SHARE))).select("word", F.lit(True).alias("ends_lines"))
     lines = join_with_hot_keys(met.filter((F.col("state") == "line") & ~F.col("at_limit")), usual, "word", "left").filter(F.col("ends_lines").isNull())
