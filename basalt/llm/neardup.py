@@ -120,7 +120,8 @@ def _batches(batches: Iterator[pa.RecordBatch], cols: list[str], size: int):
             yield batch, *token_sets(_texts(batch, cols), size)
 
 
-_CHUNKS = 64
+#: Parts of a sketch, merged apart from each other.
+_CHUNKS = 512
 
 
 def _count(cols: list[str], size: int):
@@ -307,7 +308,7 @@ def _filter_of(pairs: DataFrame) -> bytes:
         yield pa.RecordBatch.from_arrays([pa.array(now.keys(), pa.int32()), pa.array([zstandard.ZstdCompressor().compress(x.tobytes()) for x in now.values()], pa.binary())], names=["chunk", "bits"])
 
     made = pairs.select("ra", "rb").mapInArrow(build, "chunk int, bits binary")
-    return _gathered(made.repartition(8, "chunk").mapInArrow(unite, "chunk int, bits binary"), "bits")
+    return _gathered(made.repartition("chunk").mapInArrow(unite, "chunk int, bits binary"), "bits")
 
 
 def similar_classes(records: DataFrame, cols: list[str], threshold: float = 0.8, size: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -322,7 +323,7 @@ def similar_classes(records: DataFrame, cols: list[str], threshold: float = 0.8,
     rows = records.select("id", *(F.col(c).alias(f"t{k}") for k, c in enumerate(cols)))
     names = [f"t{k}" for k in range(len(cols))]
     counted = written(rows.mapInArrow(_count(names, size), _COUNT_DDL), "tokens")
-    sums = counted.filter("chunk is not null").select("chunk", "counts").repartition(8, "chunk").sortWithinPartitions("chunk").mapInArrow(_add_counts, "chunk int, counts binary")
+    sums = counted.filter("chunk is not null").select("chunk", "counts").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_add_counts, "chunk int, counts binary")
     sketch = sc.broadcast(_gathered(sums, "counts"))
     members = counted.filter("n > 0").select("id", "digest")
 
