@@ -182,3 +182,37 @@ def level(score: Column, cuts: dict[str, float], below: str) -> Column:
 def newest_per(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
+
+
+def levels(edges: DataFrame, most: int = 50) -> DataFrame:
+    """id, level: length of the longest path to a node, for the nodes that no cycle reaches (a topological order). Rounds strip nodes whose sources are all placed."""
+    e = written(edges.select("src", "dst").distinct(), "edges")
+    left = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    done = None
+    for k in range(most):
+        ready = left.join(e.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
+        ready = written(ready.select("id", F.lit(k).alias("level")), "level")
+        if ready.isEmpty():
+            break
+        done = ready if done is None else done.unionByName(ready)
+        left = written(left.join(ready, "id", "left_anti"), "left")
+        e = written(e.join(ready.select(F.col("id").alias("src")), "src", "left_anti").select("src", "dst"), "edges")
+    return done if done is not None else left.select("id", F.lit(0).alias("level")).limit(0)
+
+
+def resolve_aliases(bindings: DataFrame, targets: DataFrame, most: int = 10) -> DataFrame:
+    """name, target, passes: names followed through re-exports (name -> via) until a name with a target; cycles end without one."""
+    found = written(targets.select("name", "target").withColumn("passes", F.lit(0)), "resolved")
+    open_ = bindings.select("name", "via").join(found, "name", "left_anti")
+    for k in range(1, most + 1):
+        step = written(open_.join(found.select(F.col("name").alias("via"), "target"), "via").groupBy("name").agg(F.min("target").alias("target")).withColumn("passes", F.lit(k)), "resolved")
+        if step.isEmpty():
+            break
+        found = found.unionByName(step)
+        open_ = open_.join(step, "name", "left_anti")
+    return found
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """old with the rows of new in place of those of the same key; both have one row a key."""
+    return old.join(new.select(key), key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
