@@ -8,7 +8,7 @@ that reaches into such a class is extended by one or two tokens, which keeps the
 that two extended prefixes must share, enough lie in one class to form a common key. So no
 key is both frequent and cheap to share, and no list of a frequent token is ever joined.
 
-Frequencies come from a sketch of counters of fixed size, merged by adding and handed
+Frequencies come from a sketch of counters of bounded size, merged by adding and handed
 to all tasks; an estimate that is too high changes the order, which costs time but loses nothing, because all
 records use the same order. Equal sets are one class from the start: a record is represented by the digest of its
 token set. Candidates pass a length filter and a position filter in the join, then a bitmap filter,
@@ -32,14 +32,15 @@ from pyspark.sql import functions as F
 from ..session import written
 
 _WORD = re.compile(r"[^\W_]+")
-#: Counters of the frequency sketch: 2 ** 24 bytes, whatever the data.
-SKETCH_BITS = 24
+#: Counters of the frequency sketch, as a power of two: 32 a record within these bounds, 128 MB at most. Past about 40 million
+#: records the counters fill up, all tokens look frequent and signatures multiply; the upper bound is then to be raised.
+SKETCH_BITS = (20, 27)
 #: Upper frequency of class 1 and of class 2.
 RARE, COMMON = 48, 224
 #: Sets up to this size index all their large subsets instead of a prefix.
 SMALL = 8
-#: Bits of the filter of involved records.
-FILTER_BITS = 25
+#: Bits of the filter of involved records, as a power of two: 8 a record within these bounds, 64 MB at most. A full filter passes all records, which costs time only.
+FILTER_BITS = (20, 29)
 _U = np.uint64
 
 
@@ -124,13 +125,17 @@ def _batches(batches: Iterator[pa.RecordBatch], cols: list[str], size: int):
 _CHUNKS = 512
 
 
-def _count(cols: list[str], size: int):
+def _bits(rows: int, each: int, bounds: tuple[int, int]) -> int:
+    return min(max((rows * each).bit_length(), bounds[0]), bounds[1])
+
+
+def _count(cols: list[str], size: int, bits: int):
     """Sketch of a task's tokens in _CHUNKS parts, and a row of (digest, id, size, bitmap) for each record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint8)
+        counts = np.zeros(1 << bits, np.uint8)
         for batch, offsets, tokens in _batches(batches, cols, size):
-            at, n = np.unique(tokens & _U((1 << SKETCH_BITS) - 1), return_counts=True)
+            at, n = np.unique(tokens & _U((1 << bits) - 1), return_counts=True)
             counts[at] = np.minimum(counts[at] + n, 255)
             b0, b1 = _bitmaps(offsets, tokens)
             rows = batch.num_rows
@@ -203,7 +208,7 @@ def _keys_of(tokens: np.ndarray, freq: np.ndarray, t: float) -> list[tuple[int,
     return out
 
 
-def _sign(cols: list[str], size: int, t: float, sketch):
+def _sign(cols: list[str], size: int, t: float, sketch, bits: int):
     """(key, digest, n, position) rows; a task emits each set once, as long as it remembers having met it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +218,7 @@ def _sign(cols: list[str], size: int, t: float, sketch):
             if not len(tokens):
                 continue
             digests = set_digests(offsets, tokens).view(np.int64)
-            freq = counts[tokens & _U((1 << SKETCH_BITS) - 1)].astype(np.uint64)
+            freq = counts[tokens & _U((1 << bits) - 1)].astype(np.uint64)
             # order: frequency, then a hash of the token; records stay apart
             doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(offsets))
             rank = (doc << _U(48)) | (freq << _U(40)) | (_mix(tokens) >> _U(24))
@@ -240,16 +245,16 @@ def _sign(cols: list[str], size: int, t: float, sketch):
     return run
 
 
-def _involved(cols: list[str], size: int, wanted):
+def _involved(cols: list[str], size: int, wanted, bits: int):
     """(id, tokens as bytes) of the records whose id passes the filter of involved records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(zstandard.ZstdDecompressor().decompress(wanted.value), np.uint8)
+        held = np.frombuffer(zstandard.ZstdDecompressor().decompress(wanted.value), np.uint8)
         for whole in batches:
             ids = whole.column("id").to_numpy().view(np.uint64)
             keep = np.ones(len(ids), bool)
-            for h in _filter_places(ids):
-                keep &= (bits[h >> _U(3)] >> (h & _U(7)).astype(np.uint8)) & 1 == 1
+            for h in _filter_places(ids, bits):
+                keep &= (held[h >> _U(3)] >> (h & _U(7)).astype(np.uint8)) & 1 == 1
             for batch, offsets, tokens in _batches(iter([whole.filter(pa.array(keep))]), cols, size):
                 raw = np.frombuffer(tokens.astype("<u8").tobytes(), np.uint8).reshape(-1, 8)[:, :6].tobytes()
                 sets = [raw[6 * offsets[k] : 6 * offsets[k + 1]] for k in range(batch.num_rows)]
@@ -258,8 +263,8 @@ def _involved(cols: list[str], size: int, wanted):
     return run
 
 
-def _filter_places(ids: np.ndarray) -> list[np.ndarray]:
-    return [_mix(ids + _U(seed)) & _U((1 << FILTER_BITS) - 1) for seed in (5, 11)]
+def _filter_places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [_mix(ids + _U(seed)) & _U((1 << bits) - 1) for seed in (5, 11)]
 
 
 def _verify(t: float):
@@ -278,23 +283,23 @@ def _verify(t: float):
     return run
 
 
-def _gathered(df: DataFrame, column: str) -> bytes:
+def _gathered(df: DataFrame, column: str, empty: int) -> bytes:
     """The parts of a sketch of fixed size, together; this much and no more comes to the driver."""
     parts = {r["chunk"]: zstandard.ZstdDecompressor().decompress(r[column]) for r in df.collect()}
     size = max((len(p) for p in parts.values()), default=0)
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts.get(k, bytes(size)) for k in range(_CHUNKS)) if size else bytes(1 << SKETCH_BITS))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts.get(k, bytes(size)) for k in range(_CHUNKS)) if size else bytes(empty))
 
 
-def _filter_of(pairs: DataFrame) -> bytes:
+def _filter_of(pairs: DataFrame, bits: int) -> bytes:
     """Bits of a Bloom filter of the records in pairs; its size doesn't depend on their number."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
+        packed = np.zeros(1 << (bits - 3), np.uint8)
         for batch in batches:
             for c in ("ra", "rb"):
-                for h in _filter_places(batch.column(c).to_numpy().view(np.uint64)):
-                    bits[h] = True
-        packed = np.packbits(bits, bitorder="little")
+                for h in _filter_places(batch.column(c).to_numpy().view(np.uint64), bits):
+                    h = np.unique(h)
+                    np.bitwise_or.at(packed, h >> _U(3), (_U(1) << (h & _U(7))).astype(np.uint8))
         step = len(packed) // _CHUNKS
         blobs = [zstandard.ZstdCompressor().compress(packed[k * step : (k + 1) * step].tobytes()) for k in range(_CHUNKS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), pa.array(blobs, pa.binary())], names=["chunk", "bits"])
@@ -308,7 +313,7 @@ def _filter_of(pairs: DataFrame) -> bytes:
         yield pa.RecordBatch.from_arrays([pa.array(now.keys(), pa.int32()), pa.array([zstandard.ZstdCompressor().compress(x.tobytes()) for x in now.values()], pa.binary())], names=["chunk", "bits"])
 
     made = pairs.select("ra", "rb").mapInArrow(build, "chunk int, bits binary")
-    return _gathered(made.repartition("chunk").mapInArrow(unite, "chunk int, bits binary"), "bits")
+    return _gathered(made.repartition("chunk").mapInArrow(unite, "chunk int, bits binary"), "bits", 1 << (bits - 3))
 
 
 def similar_classes(records: DataFrame, cols: list[str], threshold: float = 0.8, size: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -322,12 +327,14 @@ def similar_classes(records: DataFrame, cols: list[str], threshold: float = 0.8,
     sc = records.sparkSession.sparkContext
     rows = records.select("id", *(F.col(c).alias(f"t{k}") for k, c in enumerate(cols)))
     names = [f"t{k}" for k in range(len(cols))]
-    counted = written(rows.mapInArrow(_count(names, size), _COUNT_DDL), "tokens")
+    n = records.count()
+    bits, filter_bits = _bits(n, 32, SKETCH_BITS), _bits(n, 8, FILTER_BITS)
+    counted = written(rows.mapInArrow(_count(names, size, bits), _COUNT_DDL), "tokens")
     sums = counted.filter("chunk is not null").select("chunk", "counts").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_add_counts, "chunk int, counts binary")
-    sketch = sc.broadcast(_gathered(sums, "counts"))
+    sketch = sc.broadcast(_gathered(sums, "counts", 1 << bits))
     members = counted.filter("n > 0").select("id", "digest")
 
-    signed = rows.mapInArrow(_sign(names, size, threshold, sketch), "key long, digest long, n int, pos int")
+    signed = rows.mapInArrow(_sign(names, size, threshold, sketch, bits), "key long, digest long, n int, pos int")
     x = signed.select("key", F.col("digest").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     y = signed.select("key", F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
@@ -341,8 +348,8 @@ def similar_classes(records: DataFrame, cols: list[str], threshold: float = 0.8,
     close = candidates.join(side("a"), "a").join(side("b"), "b").filter(apart <= F.col("na") + F.col("nb") - 2 * need)
     close = written(close.select("a", "b", "ra", "rb"), "close")
 
-    wanted = sc.broadcast(_filter_of(close))
-    tokens = rows.filter("id is not null").mapInArrow(_involved(names, size, wanted), "id long, tokens binary").dropDuplicates(["id"])
+    wanted = sc.broadcast(_filter_of(close, filter_bits))
+    tokens = rows.filter("id is not null").mapInArrow(_involved(names, size, wanted, filter_bits), "id long, tokens binary").dropDuplicates(["id"])
     ta, tb = tokens.select(F.col("id").alias("ra"), F.col("tokens").alias("tokens_a")), tokens.select(F.col("id").alias("rb"), F.col("tokens").alias("tokens_b"))
     links = close.join(ta, "ra").join(tb, "rb").mapInArrow(_verify(threshold), "a long, b long, similarity double")
     return members, links
