@@ -28,7 +28,7 @@ _START = re.compile(r"(?:^|[\n\r{|·;,.?!…\"”)}\]:]|\s[-–—‑]\s)[^\w\n\
 _ESCAPE = re.compile(r"\\(u[0-9a-f]{4}|.)", re.I)
 _DROP = re.compile(r"[\W_]+")
 _M = (1 << 128) - 1
-_NAME = re.compile(r"\b(" + "|".join(LABELS) + r")[*_\"'`\s]*[:=]", re.I)
+_NAME = re.compile(r"\b(" + "|".join(LABELS) + r")[*_\"'`)\]\s]*[:=]", re.I)
 
 
 def plain(text: str | None) -> str:
