@@ -51,15 +51,10 @@ def query_terms(query: str, most: int = 5) -> list[str]:
 
 
 def term_counts(docs: DataFrame, terms: list[str], text: Column) -> DataFrame:
-    """docs with size (words) and tf (for each term its count); words are runs of a-z and 0-9 in lower case."""
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
-    out = docs.withColumn("__w", words)
-
-    def count(term: str) -> Column:
-        return F.size(F.filter("__w", lambda w: w == F.lit(term)))
-
-    tf = F.array(*(count(t) for t in terms))
-    return out.withColumn("size", F.size("__w")).withColumn("tf", tf).drop("__w")
+    """docs with size (words) and tf (for each term its count); words are runs of a-z and 0-9 in lower case. Counted by patterns, so no word array is built."""
+    low = F.lower(text)
+    tf = F.array(*(F.regexp_count(low, F.lit(f"(?<![a-z0-9]){t}(?![a-z0-9])")) for t in terms))
+    return docs.withColumn("size", F.regexp_count(low, F.lit("[a-z0-9]+"))).withColumn("tf", tf)
 
 
 def bm25(counted: DataFrame, n_terms: int) -> DataFrame:
