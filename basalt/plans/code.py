@@ -165,7 +165,7 @@ _CENTRAL = """i AS (SELECT dst AS id, count(*) AS n FROM calls GROUP BY 1), o AS
 
 @_add(
     "a17_centrality",
-    f"WITH {_CENTRAL} SELECT f.id, 2.0 * coalesce(i.n, 0) + 1.5 * coalesce(m.n, 0) + .25 * coalesce(o.n, 0) AS centrality FROM files f LEFT JOIN i ON i.id = f.id LEFT JOIN o ON o.id = f.id LEFT JOIN m ON m.id = f.id",
+    f"WITH {_CENTRAL} SELECT f.id, (2.0 * coalesce(i.n, 0) + 1.5 * coalesce(m.n, 0) + .25 * coalesce(o.n, 0))::DOUBLE AS centrality FROM files f LEFT JOIN i ON i.id = f.id LEFT JOIN o ON o.id = f.id LEFT JOIN m ON m.id = f.id",
     "calls",
     "imports",
     "files",
@@ -206,7 +206,7 @@ def c2(spark, d):
 
 @_add(
     "e1_modules",
-    """WITH f AS (SELECT id, split_part(path, '/', 2) AS module FROM files) SELECT f.module, count(*) AS files, sum(coalesce(i.n, 0)) AS importers FROM f
+    """WITH f AS (SELECT id, split_part(path, '/', 2) AS module FROM files) SELECT f.module, count(*) AS files, sum(coalesce(i.n, 0))::BIGINT AS importers FROM f
        LEFT JOIN (SELECT dst, count(DISTINCT src) AS n FROM imports GROUP BY dst) i ON i.dst = f.id GROUP BY f.module""",
     "imports",
     "files",
@@ -226,7 +226,7 @@ def e2(spark, d):
     return s.orderBy(F.desc("n"), "file_path").limit(50).withColumn("importance", F.least(F.lit(1.0), F.col("n") / 50.0))
 
 
-@_add("e3_file_hotspots", "SELECT file_path, count(*) AS symbols, sum(end_line - start_line + 1) AS lines FROM code_symbols GROUP BY 1 ORDER BY lines DESC, file_path LIMIT 20")
+@_add("e3_file_hotspots", "SELECT file_path, count(*) AS symbols, sum(end_line - start_line + 1)::BIGINT AS lines FROM code_symbols GROUP BY 1 ORDER BY lines DESC, file_path LIMIT 20")
 def e3(spark, d):
     g = table(spark, d, "code_symbols").groupBy("file_path").agg(F.count(F.lit(1)).alias("symbols"), F.sum(F.col("end_line") - F.col("start_line") + 1).alias("lines"))
     return g.orderBy(F.desc("lines"), "file_path").limit(20)

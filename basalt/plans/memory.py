@@ -149,7 +149,7 @@ def a7(spark, d):
 
 @_add(
     "a8_session_stats",
-    """SELECT project, count(*) AS sessions, count(*) FILTER (WHERE saved = 0) AS empty, count(*) FILTER (WHERE ended_at IS NULL) AS open, sum(saved) AS saved,
+    """SELECT project, count(*) AS sessions, count(*) FILTER (WHERE saved = 0) AS empty, count(*) FILTER (WHERE ended_at IS NULL) AS open, sum(saved)::BIGINT AS saved,
        min(started_at) AS first_start, max(started_at) AS last_start, greatest(count(*) - 5, 0) AS to_prune FROM sessions GROUP BY project""",
     "sessions",
 )

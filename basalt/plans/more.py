@@ -136,7 +136,7 @@ def a28(spark, d):
     return g.select("source", F.round("p", 6).alias("precision"), F.when(F.col("p") < 0.5, 0.98).otherwise(0.95).alias("threshold"))
 
 
-@_add("a29_cost_fold", "SELECT user_id % 10 AS mission, count(*) AS calls, round(sum(value), 4) AS cost, sum(event_id % 1000 + event_id % 377) AS tokens FROM events GROUP BY 1")
+@_add("a29_cost_fold", "SELECT user_id % 10 AS mission, count(*) AS calls, round(sum(value), 4) AS cost, sum(event_id % 1000 + event_id % 377)::BIGINT AS tokens FROM events GROUP BY 1")
 def a29(spark, d):
     return table(spark, d, "events").groupBy((F.col("user_id") % 10).alias("mission")).agg(_n("calls"), F.round(F.sum("value"), 4).alias("cost"), F.sum(F.expr("event_id % 1000 + event_id % 377")).alias("tokens"))
 

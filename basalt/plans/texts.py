@@ -84,7 +84,7 @@ def d8(spark, d):
     return t.groupBy("term").agg(F.count(F.lit(1)).alias("uses"), F.min("doc_id").alias("first_doc"))
 
 
-@_add("d9_code_blocks", f"WITH {_SECTIONS} SELECT doc_id, (fences + 1) // 2 AS block, count(*) - 1 AS code_lines FROM c WHERE fences % 2 = 1 GROUP BY ALL")
+@_add("d9_code_blocks", f"WITH {_SECTIONS} SELECT doc_id, ((fences + 1) // 2)::BIGINT AS block, count(*) - 1 AS code_lines FROM c WHERE fences % 2 = 1 GROUP BY ALL")
 def d9(spark, d):
     w = Window.partitionBy("doc_id").orderBy("line_no")
     x = T.lines(table(spark, d, "documents"), "doc_id", "text").withColumn("fences", F.sum(F.when(F.startswith("line", F.lit("```")), 1).otherwise(0)).over(w))
