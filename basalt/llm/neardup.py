@@ -203,8 +203,10 @@ def _keys_of(tokens: np.ndarray, freq: np.ndarray, t: float) -> list[tuple[int,
             h = np.full(len(grid), _U(k))
             for j in range(k):
                 h = _mix(h + head[grid[:, j]] * _U(2 * j + 3))
-            # a combination's tokens are shared together, so its first token bounds the position
-            out += zip((h >> _U(2)).astype(np.int64).tolist(), grid[:, 0].tolist(), strict=True)
+            # a combination's tokens are shared together, so its first token bounds the position; before three tokens of class 3
+            # one shared token of class 2 may stand, which has no key of its own (one of class 1 has, and so do two of class 2)
+            first = grid[:, 0] - int(k == 3 and (kinds == 2).any())
+            out += zip((h >> _U(2)).astype(np.int64).tolist(), first.tolist(), strict=True)
     return out
 
 

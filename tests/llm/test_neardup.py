@@ -47,6 +47,16 @@ def test_no_link_is_lost(spark, monkeypatch, seed, words, longest, rare, common)
         assert len(got) == len(set(got)) and set(got) == brute(texts, t, n)
 
 
+def test_one_shared_token_of_class_2_before_those_of_class_3(spark):
+    often = " ".join(f"often{k}" for k in range(7))
+    own = lambda k: "".join(f" own{k}x{j}" for j in range(20))
+    texts = [(1, f"a1 a2 shared {often}"), (2, f"b1 b2 shared {often}")]
+    texts += [(k, "shared" + own(k)) for k in range(100, 200)] + [(k, often + own(k)) for k in range(200, 500)]
+    assert N.RARE < 102 <= N.COMMON < 302
+    df = spark.createDataFrame(texts, "id long, content string").repartition(3)
+    assert {(r.id_a, r.id_b) for r in N.similar_pairs(df, ["content"], 0.6, 1).collect()} == {(1, 2)}
+
+
 def test_null_short_and_long_texts(spark):
     long = " ".join(f"x{k}" for k in range(60_000))
     rows = [(1, None, None), (2, "a b", ""), (3, "a", "b"), (4, "One two", "three four"), (5, "one TWO three", "four!"), (6, long, None), (7, long, "end"), (4, "One two", "three four")]
