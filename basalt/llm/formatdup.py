@@ -130,47 +130,66 @@ def _differing(n: int):
     return run
 
 
+_WHOLE, _FIELD = ["part", "whole_hi", "whole_lo"], ["part", "field_hi", "field_lo"]
+
+
+def _grouped(keys: DataFrame, whole: list[str], field: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Groups of records that are joined by equal whole or field keys, however many records stand between them.
+
+    keys: part, id and both keys, any number of rows a record. First (part, id, first_id) of the records
+    of groups of several, then (part, id, other) pairs: records with one of the same whole key, and one for each other whole key of a field key.
+    """
+    edges = written(keys.groupBy(*whole, *field[1:]).agg(F.min("id").alias("low")), "edges")
+    shared = edges.groupBy(*field).agg(F.min("low").alias("other"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    links = written(edges.join(shared, field).withColumn("label", F.col("low")), "links")
+    now = links.select(*whole, *field[1:], "label")
+    while True:  # the smallest label goes from texts to fields and back until none changes
+        over = now.groupBy(*field).agg(F.min("label").alias("least"))
+        least = now.join(over, field).groupBy(*whole).agg(F.min("least").alias("least"))
+        now = written(now.join(least, whole).select(*whole, *field[1:], F.col("least").alias("label"), (F.col("least") < F.col("label")).alias("moved")), "labels")
+        if now.filter("moved").isEmpty():
+            break
+    labels = now.select(*whole, "label").distinct()
+    texts = edges.groupBy(*whole).agg(F.min("low").alias("holder")).join(labels, whole, "left").withColumn("label", F.coalesce("label", "holder"))
+    members = keys.select(*whole, "id").distinct().join(texts, whole)
+    groups = members.groupBy("part", "label").agg(F.min("id").alias("first_id"), F.max("id").alias("last")).filter("first_id < last").drop("last")
+    copies = written(members.join(groups, ["part", "label"]).select("part", "id", "holder", "first_id"), "copies")
+    pairs = copies.filter("id <> holder").select("part", "id", F.col("holder").alias("other"))
+    return copies.select("part", "id", "first_id"), pairs.unionByName(links.filter("low <> other").select("part", F.col("low").alias("id"), "other")).distinct()
+
+
 def format_copies(records: DataFrame, texts: list[str]) -> DataFrame:
     """part, id, first_id: every record that has a copy, with the smallest id of its group (itself for that one).
 
     records: part (records of different parts are no copies), id (unique within the part), and the text columns. A
     null text is an empty one; records without any letter or digit are copies of each other. Repeated rows of
-    one id count once. Whole texts are compared.
+    one id count once. Whole texts are compared. A group holds all records that a chain of copies joins: texts alike
+    as a whole may be cut into different fields, and each of those leads to further copies.
     """
     n = len(texts)
     rows = records.select("part", "id", *(F.col(c).alias(f"t{k}") for k, c in enumerate(texts)))
     keys = written(rows.mapInArrow(_fingerprint_rows(n), f"part string, id long, {_KEYS}"), "formats")
-    whole, field = ["part", "whole_hi", "whole_lo"], ["part", "field_hi", "field_lo"]
-    # a labelled member lends its field hash to members of the same plain text
-    by_text = keys.groupBy(*whole).agg(F.min(F.struct("bare", "field_hi", "field_lo", "id")).alias("h"), F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
-    by_text = by_text.select(*whole, F.col("h.id").alias("holder"), F.col("h.field_hi").alias("field_hi"), F.col("h.field_lo").alias("field_lo"), "low", "n")
-    groups = by_text.groupBy(*field).agg(F.min("low").alias("first_id"), F.sum("n").alias("n"), F.min(F.struct("low", "holder")).alias("f")).filter("n > 1")
-    groups = groups.select(*field, "first_id", F.col("f.holder").alias("first_holder"))
-    led = by_text.join(groups, field).select(*whole, "holder", "first_id", "first_holder")
-    copies = written(keys.select(*whole, "id").join(led, whole).select("part", "id", "holder", "first_id", "first_holder"), "copies")
-    pairs = copies.filter("id <> holder").select("part", "id", F.col("holder").alias("other")).unionByName(
-        copies.filter("id = holder and holder <> first_holder").select("part", "id", F.col("first_holder").alias("other"))
-    )
+    copies, pairs = _grouped(keys, _WHOLE, _FIELD)
     other = rows.select(F.col("part"), F.col("id").alias("other"), *(F.col(f"t{k}").alias(f"u{k}") for k in range(n)))
     checked = pairs.join(rows, ["part", "id"]).join(other, ["part", "other"])
     wrong = written(checked.mapInArrow(_differing(n), "part string, id long"), "wrong")
     if wrong.isEmpty():
-        return copies.select("part", "id", "first_id").distinct()
+        return copies
     return _regrouped(copies, wrong, rows, n)
 
 
 def _regrouped(copies: DataFrame, wrong: DataFrame, rows: DataFrame, n: int) -> DataFrame:
-    """After a collision of hashes: members of groups with a wrong member are grouped again by their fields as text."""
+    """After a collision of hashes: members of groups with a wrong member are grouped again by their texts and fields as text."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = zip(*(batch.column(f"t{k}").to_pylist() for k in range(n)), strict=True)
-            text = ["\1".join("\2".join(sorted(f"{a}\0{b}" for a, b in fields(t))) for t in c) for c in cols]
-            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("id"), pa.array(text, pa.string())], names=["part", "id", "form"])
+            cols = list(zip(*(batch.column(f"t{k}").to_pylist() for k in range(n)), strict=True))
+            whole = ["\1".join(plain(t) for t in c) for c in cols]
+            form = ["\1".join("\2".join(sorted(f"{a}\0{b}" for a, b in fields(t))) for t in c) for c in cols]
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("id"), pa.array(whole, pa.string()), pa.array(form, pa.string())], names=["part", "id", "whole", "form"])
 
     bad = copies.join(wrong, ["part", "id"], "left_semi").select("part", "first_id").distinct()
     sound = copies.join(bad, ["part", "first_id"], "left_anti").select("part", "id", "first_id")
     again = copies.join(bad, ["part", "first_id"], "left_semi").select("part", "id").distinct()
-    forms = rows.join(again, ["part", "id"], "left_semi").mapInArrow(exact, "part string, id long, form string")
-    firsts = forms.groupBy("part", "form").agg(F.min("id").alias("first_id"), F.countDistinct("id").alias("n")).filter("n > 1")
-    return sound.unionByName(forms.join(firsts, ["part", "form"]).select("part", "id", "first_id")).distinct()
+    forms = written(rows.join(again, ["part", "id"], "left_semi").mapInArrow(exact, "part string, id long, whole string, form string"), "forms")
+    return sound.unionByName(_grouped(forms, ["part", "whole"], ["part", "form"])[0])

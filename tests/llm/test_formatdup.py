@@ -40,6 +40,14 @@ def test_groups(spark):
     assert got == {("o", k, 1) for k in (1, 2, 3, 4)} | {("o", 7, 7), ("o", 8, 7), ("o", 9, 9), ("o", 10, 9)}
 
 
+def test_every_reading_of_a_text_leads_to_its_copies(spark):
+    # 2, 3 and 4 are one plain text, cut into three sets of fields; 5, 6 and 1 each share the fields of one of them
+    data = [("o", 2, "T", "What: a. Next: b. Why: c", 0), ("o", 3, "T", "What: a. Next b. Why: c", 0), ("o", 4, "T", "What a. Next: b. Why: c", 0)]
+    data += [("o", 5, "T", "Why: c. Next: b. What: a", 0), ("o", 6, "T", "Why: c. What: a. Next b", 0), ("o", 1, "T", "What a. Why: c. Next: b", 0), ("o", 7, "T", "Next: c. Why: b. What: a", 0)]
+    got = {(r.id, r.first_id) for r in D.format_copies(rows(spark, data), ["title", "content"]).collect()}
+    assert got == {(k, 1) for k in range(1, 7)}
+
+
 def test_collisions_are_undone(spark, monkeypatch):
     monkeypatch.setattr(D, "_hash", lambda x, seed=0: 1)
     monkeypatch.setattr(D, "_fingerprint_rows", _all_alike)
