@@ -1,7 +1,8 @@
 """Records that say the same in another form: one fingerprint whatever the format.
 
 A text is cut into named fields (labels at the start of a line or part, as JSON, as
-lines or on one line) and the text outside them. Of each name and value only letters and digits
+lines or on one line) and the text outside them. A value runs to the next label; as the text behind
+the last value may be its own or stand apart, each line it may end with is a reading of its own. Of each name and value only letters and digits
 count, without case. The hashes of the (name, value) pairs are added up, so the order of
 fields doesn't matter and nothing is sorted; equal sums are one group. A copy whose labels
 lost their marks can't be cut into fields; it is led to its group by the hash
@@ -14,6 +15,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import product
 
 import pyarrow as pa
 import xxhash
@@ -46,50 +48,94 @@ def _unescape(value: str) -> str:
     return re.sub("[\ud800-\udfff]", "", _ESCAPE.sub(one, value)) if "\\" in value else value
 
 
-def fields(text: str | None) -> list[tuple[str, str]]:
-    """(name, value) pairs in their order, both plain; the text outside of fields has the empty name. A value ends with its line."""
+def _parts(text: str | None) -> tuple[str, list[tuple[str, str]], str, list[tuple[str, str]]]:
+    """The text before the fields; (name, value) of all fields but the last; the last one's name, and each of its lines as value and as text.
+
+    A value runs to the next label, over line breaks too. Where the last one ends only its lines can tell. All but names are plain.
+    """
     text = text or ""
-    out: list[tuple[str, str]] = []
-    outside: list[str] = []
-    at = 0
-    name, quoted = "", False
     marks = [m for m in _NAME.finditer(text) if _START.search(text, max(0, m.start() - 12), m.start())]
+    if not marks:
+        return plain(text), [], "", []
+    named: list[tuple[str, str]] = []
+    for m, after in zip(marks, [*marks[1:], None], strict=True):
+        name, quoted = m.group(1).casefold(), text[m.start() - 1 : m.start()] in ('"', "“")
+        piece = text[m.end() : after.start() if after else len(text)]
+        if after:
+            named.append((name, plain(_unescape(piece) if quoted else piece)))
+    lines = [(plain(_unescape(x) if quoted else x), plain(x)) for x in piece.split("\n")]
+    return plain(text[: marks[0].start()]), named, name, [x for x in lines if any(x)]
+
 
-    def take(piece: str) -> None:
-        if not name:
-            outside.append(piece)
-            return
-        value, nl, rest = piece.partition("\n")
-        if not plain(value) and nl:
-            value, nl, rest = rest.partition("\n")
-        out.append((name, plain(_unescape(value) if quoted else value)))
-        outside.append(rest)
-
-    for m in marks:
-        take(text[at : m.start()])
-        name, quoted, at = m.group(1).casefold(), text[m.start() - 1 : m.start()] in ('"', "“"), m.end()
-    take(text[at:])
-    rest = plain("".join(outside))
-    if rest:
-        out.append(("", rest))
-    return out
+def _cuts(lines: list[tuple[str, str]]) -> range:
+    """Numbers of lines that the last field may have; the rest is text behind the fields."""
+    first = next((k for k, x in enumerate(lines) if x[0]), -1) + 1
+    return range(first, max(first, len(lines)) + 1)
+
+
+def _reading(parts: tuple, cut: int) -> list[tuple[str, str]]:
+    before, named, name, lines = parts
+    out = [*named, (name, "".join(x[0] for x in lines[:cut]))] if name else []
+    rest = before + "".join(x[1] for x in lines[cut:])
+    return [*out, ("", rest)] if rest else out
+
+
+def fields(text: str | None) -> list[tuple[str, str]]:
+    """(name, value) pairs in their order, both plain; the text outside of fields has the empty name. The last value ends with its line."""
+    parts = _parts(text)
+    return _reading(parts, _cuts(parts[3])[0])
+
+
+def readings(text: str | None) -> list[list[tuple[str, str]]]:
+    """fields() for each line that the last value may end with."""
+    parts = _parts(text)
+    return [_reading(parts, cut) for cut in _cuts(parts[3])]
 
 
 def _hash(x: str, seed: int = 0) -> int:
     return xxhash.xxh3_128_intdigest(x.encode("utf-8", "surrogatepass"), seed)
 
 
+def _reading_hashes(parts: tuple, column: int) -> list[int]:
+    """The commutative hash of each reading, by the order of _cuts; the lines are hashed once, however many readings there are."""
+    before, named, name, lines = parts
+    utf8 = lambda x: x.encode("utf-8", "surrogatepass")
+    fixed = _hash(str(column)) + sum(_hash(f"{column}\0{n}\0{v}", 7) for n, v in named)
+    cuts = _cuts(lines)
+    value, rest = xxhash.xxh3_128(utf8(f"{column}\0{name}\0"), 7), xxhash.xxh3_128(utf8(f"{column}\0\0"), 7)
+    values, rests = {}, {}
+    for k in range(len(lines) + 1):
+        if k in cuts:
+            values[k] = value.intdigest() if name else 0
+        if k < len(lines):
+            value.update(utf8(lines[k][0]))
+    # the text outside is hashed backwards, from its end to the cut and then what stands before the fields
+    some, back = False, utf8(before[::-1])
+    for k in range(len(lines), -1, -1):
+        if k in cuts:
+            outside = rest.copy()
+            outside.update(back)
+            rests[k] = outside.intdigest() if some or before else 0
+        if k:
+            rest.update(utf8(lines[k - 1][1][::-1]))
+            some = some or bool(lines[k - 1][1])
+    return [(fixed + values[k] + rests[k]) & _M for k in cuts]
+
+
+def _all_fingerprints(texts: list[str | None]) -> tuple[int, list[int], bool]:
+    """fingerprints(), with the hashes of all readings of the columns together; the first is that of fields()."""
+    parts = [_parts(t) for t in texts]
+    whole = sum(_hash(plain(t), k + 1) for k, t in enumerate(texts)) & _M
+    named = [0]
+    for k, p in enumerate(parts):
+        named = [(x + h) & _M for x in named for h in _reading_hashes(p, k)]
+    return whole, list(dict.fromkeys(named)), not any(p[2] for p in parts)
+
+
 def fingerprints(texts: list[str | None]) -> tuple[int, int, bool]:
     """Of a record's text columns: the hash of their plain texts, the commutative hash of their fields, and whether it has no labels."""
-    whole, named, bare = 0, 0, True
-    for k, t in enumerate(texts):
-        pairs = fields(t)
-        whole = (whole + _hash(plain(t), k + 1)) & _M
-        named = (named + _hash(str(k))) & _M
-        for n, v in pairs:
-            named = (named + _hash(f"{k}\0{n}\0{v}", 7)) & _M
-            bare &= not n
-    return whole, named, bare
+    whole, named, bare = _all_fingerprints(texts)
+    return whole, named[0], bare
 
 
 _KEYS = "whole_hi long, whole_lo long, field_hi long, field_lo long, bare boolean"
@@ -101,13 +147,19 @@ def _signed(x: int) -> tuple[int, int]:
 
 
 def _fingerprint_rows(n: int):
+    """A row for each reading of a record."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = [batch.column(f"t{k}").to_pylist() for k in range(n)]
-            made = [fingerprints(list(t)) for t in zip(*cols, strict=True)]
-            w, f = [_signed(x[0]) for x in made], [_signed(x[1]) for x in made]
+            whose, made = [], []
+            for row, t in enumerate(zip(*cols, strict=True)):
+                whole, named, bare = _all_fingerprints(list(t))
+                whose += [row] * len(named)
+                made += [(*_signed(whole), *_signed(f), bare) for f in named]
+            at = pa.array(whose, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("part"), batch.column("id"), *(pa.array([x[i] for x in s], pa.int64()) for s in (w, f) for i in (0, 1)), pa.array([x[2] for x in made], pa.bool_())],
+                [batch.column("part").take(at), batch.column("id").take(at), *(pa.array([x[i] for x in made], pa.int64()) for i in range(4)), pa.array([x[4] for x in made], pa.bool_())],
                 names=["part", "id", "whole_hi", "whole_lo", "field_hi", "field_lo", "bare"],
             )
 
@@ -115,10 +167,15 @@ def _fingerprint_rows(n: int):
 
 
 def _differing(n: int):
-    """Pairs whose texts aren't the same after all: neither their plain texts nor their fields agree."""
+    """Pairs whose texts aren't the same after all: neither their plain texts nor the fields of any reading agree."""
+
+    def read_alike(x: str | None, y: str | None) -> bool:
+        p, q = _parts(x), _parts(y)
+        cuts = dict(zip(_reading_hashes(q, 0), _cuts(q[3]), strict=True))
+        return any(h in cuts and Counter(_reading(p, cut)) == Counter(_reading(q, cuts[h])) for h, cut in zip(_reading_hashes(p, 0), _cuts(p[3]), strict=True))
 
     def same(a: list, b: list) -> bool:
-        return all(plain(x) == plain(y) for x, y in zip(a, b, strict=True)) or all(Counter(fields(x)) == Counter(fields(y)) for x, y in zip(a, b, strict=True))
+        return all(plain(x) == plain(y) for x, y in zip(a, b, strict=True)) or all(read_alike(x, y) for x, y in zip(a, b, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,10 +240,14 @@ def _regrouped(copies: DataFrame, wrong: DataFrame, rows: DataFrame, n: int) ->
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = list(zip(*(batch.column(f"t{k}").to_pylist() for k in range(n)), strict=True))
-            whole = ["\1".join(plain(t) for t in c) for c in cols]
-            form = ["\1".join("\2".join(sorted(f"{a}\0{b}" for a, b in fields(t))) for t in c) for c in cols]
-            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("id"), pa.array(whole, pa.string()), pa.array(form, pa.string())], names=["part", "id", "whole", "form"])
+            whose, whole, form = [], [], []
+            for row, c in enumerate(zip(*(batch.column(f"t{k}").to_pylist() for k in range(n)), strict=True)):
+                forms = ["\1".join("\2".join(sorted(f"{a}\0{b}" for a, b in x)) for x in r) for r in product(*map(readings, c))]
+                whose += [row] * len(forms)
+                whole += ["\1".join(map(plain, c))] * len(forms)
+                form += forms
+            at = pa.array(whose, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("part").take(at), batch.column("id").take(at), pa.array(whole, pa.string()), pa.array(form, pa.string())], names=["part", "id", "whole", "form"])
 
     bad = copies.join(wrong, ["part", "id"], "left_semi").select("part", "first_id").distinct()
     sound = copies.join(bad, ["part", "first_id"], "left_anti").select("part", "id", "first_id")

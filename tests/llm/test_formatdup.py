@@ -48,6 +48,19 @@ def test_every_reading_of_a_text_leads_to_its_copies(spark):
     assert got == {(k, 1) for k in range(1, 7)}
 
 
+def test_values_over_several_lines(spark):
+    data = [
+        ("o", 1, "T", "What: a b. c d.\nWhy: e. f.", 0),
+        ("o", 2, "T", "Why: e.\nf.\n· What: a b.\nc d.", 0),
+        ("o", 3, "T", "What: a b.\nf.\nWhy: e.\nc d.", 0),  # the second lines are exchanged
+        ("o", 4, "T", "What: a b.\nc d.\nWhy: e.\nf.\nNote: by\nhook", 0),
+        ("o", 5, "T", "Why: e. f.\nWhat: a b. c d.\n\nNote: by hook", 0),
+    ]
+    got = {(r.id, r.first_id) for r in D.format_copies(rows(spark, data), ["title", "content"]).collect()}
+    assert got == {(1, 1), (2, 1), (4, 4), (5, 4)}
+    assert len(D._all_fingerprints(["task: x\n" + "log line\n" * 20_000])[1]) == 20_001
+
+
 def test_collisions_are_undone(spark, monkeypatch):
     monkeypatch.setattr(D, "_hash", lambda x, seed=0: 1)
     monkeypatch.setattr(D, "_fingerprint_rows", _all_alike)
