@@ -17,8 +17,10 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +43,8 @@ SYLLABLES = ("Abel Ber Cal Des Eld Fab Gar Hes Il Jor Kes Lom Mar Nes Ov Per".sp
 STREETS = "Alder Birch Cedar Dogwood Elder Hazel Larch Myrtle Poplar Rowan Spruce Willow".split()
 TOWNS = "Arnbeck Bellmore Carrow Dalvern Eastmere Fernhill Glenmoor Hartwell".split()
 
+#: Rounds of draws after which numbers get longer, by a digit a round; names and streets do from the first round on.
+WIDER = 4
 KINDS = ("email", "address", "id_number", "phone", "person_name")
 
 
@@ -202,34 +206,71 @@ class Keyed:
 
     def surrogate(self, kind: str, said: str, round_: int = 0) -> str:
         """Another value of the same form: digits for digits, names of the same gender and layout, the same case."""
-        draws = iter(b"".join(self.bits(kind, canonical(kind, said), 1000 * round_ + k) for k in range(2 + len(said) // 4)))
-        pick = lambda xs: xs[(next(draws) << 8 | next(draws)) % len(xs)]
+        entity = canonical(kind, said)
+        first_widened = True
+
+        def stream(role: str) -> Iterator[int]:
+            """Bytes for a part of the entity, whatever stands before that part in the layout at hand."""
+            for k in count():
+                yield from self.bits(kind, f"{entity}\0{role}\0{k}", round_)
+
+        pick = lambda draws, xs: xs[(next(draws) << 8 | next(draws)) % len(xs)]
 
         def cased(new: str, old: str) -> str:
             return new.upper() if old.isupper() and len(old) > 1 else new.lower() if old.islower() else new
 
         def digits(x: str) -> str:
-            return re.sub(r"\d", lambda m: m.group(0) if m.start() == 0 and m.group(0) == "0" else str(next(draws) % 10), x)
+            draws, at = stream("digits"), count()
+
+            def one(m: re.Match) -> str:
+                zero = ord(m.group(0)) - unicodedata.digit(m.group(0))
+                return m.group(0) if next(at) == 0 and ord(m.group(0)) == zero else chr(zero + next(draws) % 10)
 
-        def surname() -> str:
-            return "".join(pick(x) for x in SYLLABLES)
+            return re.sub(r"\d", one, x) + "".join(str(next(draws) % 10) for _ in range(round_ - WIDER))
 
-        def word(m: re.Match) -> str:
-            w = m.group(0)
-            gender = _GIVEN.get(w.casefold())
-            if len(w) == 1:
-                return cased("ABCDEFGHJKLMNPRSTVW"[next(draws) % 19], w)
-            return cased(pick(FEMALE if gender == "f" else MALE) if gender else surname(), w)
+        def more(draws: Iterator[int]) -> str:
+            """Syllables by which the draws of a later round are more than those of the round before."""
+            return "".join(pick(draws, x) for _ in range(round_) for x in SYLLABLES[1:])
+
+        def surname(draws: Iterator[int], wide: bool = True) -> str:
+            return "".join(pick(draws, x) for x in SYLLABLES) + (more(draws) if wide else "")
 
         if kind == "person_name":
-            return re.sub(r"[^\W\d_]+", word, said)
+            words = list(_LETTERS.finditer(said))
+            comma = said.find(", ")
+            last = sum(m.start() < comma for m in words)  # words of a surname that is written first
+            place = [(k - last) % len(words) for k in range(len(words))]
+            widened = max((p for p, m in zip(place, words, strict=True) if len(m.group(0)) > 1), default=-1)
+            by_start = {m.start(): p for p, m in zip(place, words, strict=True)}
+
+            def word(m: re.Match) -> str:
+                w, at = m.group(0), by_start[m.start()]
+                draws, gender = stream(str(at)), _GIVEN.get(w.casefold())
+                if len(w) == 1:
+                    return cased("ABCDEFGHJKLMNPRSTVW"[next(draws) % 19], w)
+                if gender:
+                    return cased(pick(draws, FEMALE if gender == "f" else MALE) + (more(draws) if at == widened else ""), w)
+                return cased(surname(draws, at == widened), w)
+
+            return _LETTERS.sub(word, said)
         if kind == "email":
-            return cased(f"{pick(FEMALE + MALE)}.{surname()}{next(draws) % 100}@{pick(STREETS)}.example".lower(), said)
+            draws = stream("email")
+            return cased(f"{pick(draws, FEMALE + MALE)}.{surname(draws)}{next(draws) % 100}@{pick(draws, STREETS)}.example".lower(), said)
         if kind == "address":
             keep = re.compile(rf"^(?:{_US}|{_DE}|{_FR}|{_ES}|apt|suite|unit|flat|bis|ter|bajo|de|la|des|du|del|los|las|el|am|der|im|n|s|e|w|[nsew]\.?|.{{1,2}})$", re.I)
-            swap = lambda m: m.group(0) if keep.match(m.group(0)) else cased(pick(STREETS + TOWNS), m.group(0))
-            return digits(re.sub(r"[^\W\d_]+", swap, said))
-        return digits(re.sub(r"(?<![A-Za-z])[A-Z](?=-?$)", lambda m: "ABCD"[next(draws) % 4], said)) if kind == "id_number" else digits(said)
+
+            def swap(m: re.Match) -> str:
+                nonlocal first_widened
+                if keep.match(m.group(0)):
+                    return m.group(0)
+                draws = stream(str(len(canonical(kind, said[: m.start()]))))
+                new, first_widened = pick(draws, STREETS + TOWNS) + (more(draws) if first_widened else ""), False
+                return cased(new, m.group(0))
+
+            return digits(_LETTERS.sub(swap, said))
+        if kind == "id_number":
+            said = re.sub(r"(?<![A-Za-z])[A-Za-z](?=-?$)", lambda m: cased("ABCD"[next(stream("letter")) % 4], m.group(0)), said)
+        return digits(said)
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
