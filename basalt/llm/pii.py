@@ -202,7 +202,7 @@ class Keyed:
         return hmac.new(self.key, f"{kind}\0{entity}\0{round_}".encode("utf-8", "surrogatepass"), hashlib.sha512).digest()
 
     def placeholder(self, kind: str, said: str, round_: int = 0) -> str:
-        return f"[{kind.upper()}_{self.bits(kind, canonical(kind, said), round_)[:5].hex()}]"
+        return f"[{kind.upper()}_{self.bits(kind, canonical(kind, said), round_)[: 5 + round_].hex()}]"
 
     def surrogate(self, kind: str, said: str, round_: int = 0) -> str:
         """Another value of the same form: digits for digits, names of the same gender and layout, the same case."""
@@ -311,10 +311,6 @@ def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0][0] for r in rows], pa.string()), pa.array([r[0][1] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["kind", "entity", "said"])
 
 
-#: Times that entities whose replacements fall together draw again, at most.
-ROUNDS = 12
-
-
 def redrawn(records: DataFrame, key: str, surrogates: bool) -> DataFrame:
     """kind, entity, round: the entities that don't keep their first draw, because another entity has the same.
 
@@ -322,7 +318,7 @@ def redrawn(records: DataFrame, key: str, surrogates: bool) -> DataFrame:
     """
     named = occurrences(records).select("kind", "said").mapInArrow(_entities, "kind string, entity string, said string")
     now = written(named.groupBy("kind", "entity").agg(F.min("said").alias("said"), F.lit(0).alias("round")), "entities")
-    for _ in range(ROUNDS):
+    while True:  # ends, as each round draws from a larger space
         drawn = now.mapInArrow(_draws(key, surrogates), "kind string, entity string, said string, round int, drawn string")
         shared = drawn.groupBy("kind", "drawn").agg(F.min(F.struct("round", "entity")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         losers = written(drawn.join(shared, ["kind", "drawn"]).filter(F.col("entity") != F.col("first.entity")).select("kind", "entity", F.lit(True).alias("again")), "losers")

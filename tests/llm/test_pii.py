@@ -88,3 +88,9 @@ def test_colliding_replacements_are_drawn_again(spark, monkeypatch):
     rows = [("o", 1, "Sanna Lisriquist and Greta Tavrinek and Viktor Peldital", "k")]
     text = P.masked(records(spark, rows), "key").first().text
     assert len(set(re.findall(r"\[.*?\]", text))) == 3
+
+
+def test_surrogates_stay_apart_in_a_full_space(spark):
+    names = sorted(set(P.FEMALE))  # as many as there are to draw from
+    texts = [r.text for r in P.masked(records(spark, [("o", k, f"Ask {n} first.", "k") for k, n in enumerate(names)]), "key", surrogates=True).collect()]
+    assert len(texts) == len(set(texts)) == len(names)
