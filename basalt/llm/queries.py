@@ -118,13 +118,13 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Per source the number of texts, of cut texts, of those at a length limit, and the share cut."""
+    """Per source the number of texts and of cut texts, how many of these lie at a length limit and how many elsewhere, and the share cut."""
     docs = table(spark, d, "documents")
     cut = truncation.truncated(docs).groupBy("source").agg(F.count(F.lit(1)).alias("cut"), F.count_if("at_limit").alias("cut_at_limit"))
     every = docs.groupBy("source").agg(F.count(F.lit(1)).alias("texts"))
     out = every.join(cut.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
-    n = F.coalesce("cut", F.lit(0))
-    return out.select("source", "texts", n.alias("cut"), F.coalesce("cut_at_limit", F.lit(0)).alias("cut_at_limit"), (n / F.col("texts")).alias("share"))
+    n, limit = F.coalesce("cut", F.lit(0)), F.coalesce("cut_at_limit", F.lit(0))
+    return out.select("source", "texts", n.alias("cut"), limit.alias("cut_at_limit"), (n - limit).alias("cut_elsewhere"), (n / F.col("texts")).alias("share"))
 
 
 QUERIES = {"p1_percentiles": p1_percentiles, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p6_found": p6_found, "p6_masked": p6_masked, "p6_surrogates": p6_surrogates, "p7_found": p7_found, "p7_classes": p7_classes, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_sources": p10_sources}

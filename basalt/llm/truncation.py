@@ -1,9 +1,9 @@
 """Texts cut off by field limits or in transfer.
 
 Per source, histograms of the lengths in characters and in bytes are tested for a spike at the
-maximum: far more texts in the last few lengths than lengths below it hold. A text at
-such a length that doesn't end as a text does was cut. Cuts elsewhere are told by the
-end itself: a mark or remnant of the cut, an open code block, table row, object or sentence. Lines of
+maximum: far more texts in the last few lengths than lengths below it hold. Every text is held against
+the spikes of its source; one at such a length that doesn't end as a text does was cut at the limit. Of the rest, cuts in
+transfer are told by the end itself: a mark or remnant of the cut, an open code block, table row, object or sentence. Lines of
 lists and logs end without a full stop; of these, the words that end lines that go on to
 another line are counted over all texts, and a last line that ends in a word that doesn't end lines was cut.
 """
@@ -24,8 +24,6 @@ from ..session import join_with_hot_keys, written
 SLACK = 14
 #: A spike holds at least this many texts, and this many times what as many lengths below it hold on average.
 LEAST, TIMES = 3, 4.0
-#: Of fewer different texts no limit is told.
-TEXTS = 20
 #: One length of at least this many texts, and this many times the average of the lengths around it, is a limit too.
 PEAK, PEAK_TIMES = 5, 12.0
 #: A word ends lines if it ends at least this share of the lines in which it appears as a word.
@@ -40,8 +38,8 @@ _SMILE = re.compile(r"[.?!。！？…)\"'`*_]\s*(?::-?[)(DPp]|;-?\)|<3|[^\w\s.,
 _SIGN = re.compile(r"^(?:#[\w-]+(?: #[\w-]+)*|[(\[].*[)\]]|(?:--|—|–)\s?\S.*|[Ss]ee \S+\.\w{1,5}|\W+)$")
 _ITEM = re.compile(r"^\s*(?:[-*•+]|\d+[.)])\s+\S")
 _LOG = re.compile(r"^\[?\d{4}-\d\d-\d\d[ T]\d\d:\d\d")
-_BROKEN = re.compile(r"(?:^|\s)(?:\d+[.)]|\S*/[^\s./]*\.|[Vv]ersi[oó]n \d[\d.]*\.|(?:upgrading to|versión|version|Version) \d[\d.]*\.)$")
-
+#: A list number without its line, a number that may go on behind the point, a path whose ending is missing.
+_BROKEN = re.compile(r"(?:^|\s)(?:\d+[.)]|\S*/[^\s./]*\.)$")
 
 
 def _last_word(line: str) -> str:
@@ -68,7 +66,8 @@ def _is_object(line: str) -> bool:
 def ending(text: str) -> tuple[str, str]:
     """How a text ends: 'cut', 'whole', 'dots' (it may be deliberate), 'open' (no full stop, but nothing is open), or 'line' with the last word of a line of a list or log."""
     s = text.rstrip(_BLANK)
-    if _MARK.search(s[-60:]):
+    # a mark has no bracket inside, so the last one opens it, however long it is
+    if _MARK.search(s, max(0, s.rfind("\ufffd"), *(s.rfind(x) for x in "[(<{"))):
         return "cut", ""
     lines = s.split("\n")
     last = lines[-1].strip(_BLANK)
@@ -140,7 +139,7 @@ def _line_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def limits(lengths: DataFrame) -> DataFrame:
-    """source, unit, least, most: the ranges of lengths at which a source's texts are cut. lengths: source, unit, length and the text's hash, one row per text.
+    """source, unit, least, most, shared: the ranges of lengths at which a source's texts are cut, and whether several texts have the very length most. lengths: source, unit, length and the text's hash, one row per text.
 
     A text that was delivered many times counts once, else its copies would make a spike.
 
@@ -148,20 +147,21 @@ def limits(lengths: DataFrame) -> DataFrame:
     be one length.
     """
     hist = lengths.groupBy("source", "unit", "length").agg(F.count_distinct("hash").alias("n"))
-    top = hist.groupBy("source", "unit").agg(F.max("length").alias("most"), F.sum("n").alias("texts")).filter(F.col("texts") >= TEXTS).drop("texts")
+    top = hist.groupBy("source", "unit").agg(F.max("length").alias("most"))
     near = hist.join(top, ["source", "unit"]).groupBy("source", "unit", "most").agg(
         F.sum(F.when(F.col("length") > F.col("most") - SLACK, F.col("n")).otherwise(0)).alias("at"),
+        F.sum(F.when(F.col("length") == F.col("most"), F.col("n")).otherwise(0)).alias("last"),
         F.sum(F.when((F.col("length") <= F.col("most") - SLACK) & (F.col("length") > F.col("most") * 0.6 - SLACK), F.col("n")).otherwise(0)).alias("below"),
     )
     expected = F.col("below") * SLACK / F.greatest(F.col("most") * 0.4, F.lit(float(SLACK)))
-    ends = near.filter((F.col("at") >= LEAST) & (F.col("at") >= TIMES * expected)).select("source", "unit", (F.col("most") - SLACK + 1).alias("least"), "most")
+    ends = near.filter((F.col("at") >= LEAST) & (F.col("at") >= TIMES * expected)).select("source", "unit", (F.col("most") - SLACK + 1).alias("least"), "most", (F.col("last") > 1).alias("shared"))
     around = Window.partitionBy("source", "unit").orderBy("length").rangeBetween(-200, 200)
     peaks = hist.withColumn("around", F.sum("n").over(around)).filter((F.col("n") >= PEAK) & (F.col("n") >= PEAK_TIMES * (F.col("around") - F.col("n")) / 400.0))
-    return ends.unionByName(peaks.select("source", "unit", F.col("length").alias("least"), F.col("length").alias("most")))
+    return ends.unionByName(peaks.select("source", "unit", F.col("length").alias("least"), F.col("length").alias("most"), F.lit(True).alias("shared")))
 
 
 def truncated(docs: DataFrame) -> DataFrame:
-    """doc_id, source, at_limit, state for the texts that were cut.
+    """doc_id, source, at_limit, state for the texts that were cut; at_limit tells those whose length lies in a spike of their source.
 
     docs: doc_id, text, source. Null, empty and blank texts are never cut; texts of a null source have no
     limits but may be cut by their end. Texts are looked at whole. Repeated rows give repeated rows.
@@ -171,17 +171,16 @@ def truncated(docs: DataFrame) -> DataFrame:
     ends = written(texts.mapInArrow(_endings, "doc_id long, source string, chars long, hash long, bytes long, state string, word string"), "endings")
     unit = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length"))))
     lengths = ends.filter(F.col("source").isNotNull()).select("source", "hash", unit.alias("u")).select("source", "hash", "u.unit", "u.length")
-    found = limits(lengths).groupBy("source").agg(F.collect_set(F.struct("unit", "least", "most")).alias("limits"))
-    unsure = ends.filter(F.col("state").isin("dots", "open", "line"))
-    met = join_with_hot_keys(unsure, found, "source", "left")
+    found = limits(lengths).groupBy("source").agg(F.collect_set(F.struct("unit", "least", "most", "shared")).alias("limits"))
     size = lambda x: F.when(x["unit"] == "chars", F.col("chars")).otherwise(F.col("bytes"))
-    within = F.exists("limits", lambda x: size(x).between(x["least"], x["most"]))
-    # a line may well end near the limit; only one that ends right at it needs no look at its last word
-    right_at = F.exists("limits", lambda x: size(x) == x["most"])
-    met = met.withColumn("at_limit", F.coalesce(F.when(F.col("state") == "line", right_at).otherwise(within), F.lit(False))).drop("limits")
+    spike = lambda test: F.coalesce(F.exists("limits", test), F.lit(False))
+    met = join_with_hot_keys(ends.filter("state <> 'whole'"), found, "source", "left")
+    met = met.select("doc_id", "source", "state", "word", spike(lambda x: size(x).between(x["least"], x["most"])).alias("at_limit"), spike(lambda x: x["shared"] & (size(x) == x["most"])).alias("right_at"))
+    # a whole line may well end near the limit; only one that ends right at it, as others do, needs no look at its last word
+    by_limit = (F.col("state") != "line") & F.col("at_limit") | F.col("right_at")
+    cols = ["doc_id", "source", "at_limit", "state"]
+    sure = met.filter(by_limit | (F.col("state") == "cut"))
     words = texts.select("text").mapInArrow(_line_words, "word string, ends long, uses long").groupBy("word").agg(F.sum("ends").alias("ends"), F.sum("uses").alias("uses"))
     usual = words.filter((F.col("ends") >= 1) & ((F.col("uses") == 0) | (F.col("ends") >= F.col("uses") * LINE_END_SHARE))).select("word", F.lit(True).alias("ends_lines"))
-    lines = join_with_hot_keys(met.filter((F.col("state") == "line") & ~F.col("at_limit")), usual, "word", "left").filter(F.col("ends_lines").isNull())
-    cols = ["doc_id", "source", "at_limit", "state"]
-    out = ends.filter(F.col("state") == "cut").withColumn("at_limit", F.lit(False)).select(*cols)
-    return out.unionByName(met.filter("at_limit").select(*cols)).unionByName(lines.select(*cols))
+    lines = join_with_hot_keys(met.filter((F.col("state") == "line") & ~by_limit), usual, "word", "left").filter(F.col("ends_lines").isNull())
+    return sure.select(*cols).unionByName(lines.select(*cols))

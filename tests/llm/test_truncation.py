@@ -48,3 +48,18 @@ def test_tables(spark):
 def test_very_long_text(spark):
     df = spark.createDataFrame([(1, "word " * 200_000 + "end.", "s"), (2, "Word is. " * 100_000 + "and then", "s")], "doc_id long, text string, source string")
     assert [x.doc_id for x in T.truncated(df).collect()] == [2]
+
+
+def test_limits_are_told_for_every_cut_text(spark):
+    r = random.Random(2)
+    body = lambda n: " ".join(r.choice("the cache reader polls every stale table once".split()) for _ in range(n)).capitalize()
+    rows = [(k, f"In {k} " + body(9 + k) + ".", "s") for k in range(30)]
+    rows += [(100 + k, f"Note {k}. " + body(60)[:150] + "[…]", "s") for k in range(9)] + [(200, "Well. Then the", "s"), (201, "Well. Then the", None)]
+    rows += [(300 + k, f"Few {k}. " + body(60)[:150], "few") for k in range(4)]  # a source of few texts has a limit too
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {x.doc_id: x.at_limit for x in T.truncated(df).collect()}
+    assert got == {**{100 + k: True for k in range(9)}, 200: False, 201: False, **{300 + k: True for k in range(4)}}
+
+
+def test_a_mark_may_be_long():
+    assert T.ending("Well. " + "[+ 52 chars " + "x" * 500 + "]")[0] == "cut"
