@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (tests, local runs) a temporary folder is
-    made and set as the checkpoint folder.
+    Only where the session names none and runs in one process (tests, local runs) a temporary folder is
+    made and set as the checkpoint folder; on a cluster the executors wouldn't share it, so there it is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
         kept = sc._jsc.sc().getCheckpointDir()
         if kept.isDefined():
             return kept.get()
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="basalt-")
         sc.setCheckpointDir(at)
     return at.rstrip("/")
@@ -50,16 +53,17 @@ def hot_keys(df: DataFrame, key: str, at_least: int = 10_000) -> list:
     return [r[0] for r in rows]
 
 
-def join_with_hot_keys(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: list | None = None) -> DataFrame:
-    """left join right on one key (inner or left), where few keys may hold most of left.
+def join_with_hot_keys(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: list | None = None, also: list[str] | None = None) -> DataFrame:
+    """left join right on key and the columns also (inner or left), where few keys may hold most of left.
 
     right has few rows per key. Rows of hot keys of left meet a broadcast of right's rows of
     those keys (fewer than HOT_KEYS of them); all others meet in a shuffle join, which then
     has no key of more than 1/HOT_KEYS of the rows. Loops that join one left side often count its hot keys once.
     """
     hot = hot_keys(left, key) if hot is None else hot
+    on = [key, *(also or [])]
     if not hot:
-        return left.join(right, key, how)
+        return left.join(right, on, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    cold = left.filter(~is_hot).join(right.filter(~is_hot), key, how)
-    return cold.unionByName(left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key, how))
+    cold = left.filter(~is_hot).join(right.filter(~is_hot), on, how)
+    return cold.unionByName(left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), on, how))
