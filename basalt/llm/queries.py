@@ -59,15 +59,15 @@ def _contents(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    found = pii.occurrences(_contents(spark, d))
-    return found.select(F.col("part").alias("record_table"), F.col("id").alias("record_id"), F.col("kind").alias("pii_kind"), F.col("no").alias("occurrence_no"))
-
-
 #: Key of the replacements; a real run passes its own secret.
 KEY = "basalt"
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.replacements(_contents(spark, d), KEY)
+    return found.select(F.col("part").alias("record_table"), F.col("id").alias("record_id"), F.col("kind").alias("pii_kind"), F.col("no").alias("occurrence_no"))
+
+
 def p6_masked(spark: SparkSession, d: str) -> DataFrame:
     """Every content with typed, keyed placeholders instead of personal data."""
     return pii.masked(_contents(spark, d), KEY).withColumnRenamed("part", "record_table").withColumnRenamed("id", "record_id")

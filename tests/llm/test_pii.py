@@ -94,3 +94,42 @@ def test_surrogates_stay_apart_in_a_full_space(spark):
     names = sorted(set(P.FEMALE))  # as many as there are to draw from
     texts = [r.text for r in P.masked(records(spark, [("o", k, f"Ask {n} first.", "k") for k, n in enumerate(names)]), "key", surrogates=True).collect()]
     assert len(texts) == len(set(texts)) == len(names)
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("Reviewed by Shreya Patel. Oluwaseun Adeyemi approved it, then we told Priyanka Chopra.", ["Shreya Patel", "Oluwaseun Adeyemi", "Priyanka Chopra"]),
+        ("It comes from The Span Set, written by The Team; Harbor Lane release.", []),
+        ("Спросил Иван Петрович Соколов и Анна Петрова.", ["Иван Петрович Соколов", "Анна Петрова"]),
+        ("田中太郎さんに聞く。", ["田中太郎"]),
+        ("ask dr. halneski, not ms norstalund; it took 12 ms more", ["halneski", "norstalund"]),
+    ],
+)
+def test_names_of_no_list(text, names):
+    assert [text[f.start : f.end] for f in P.find(text)] == names
+
+
+def test_parts_of_a_name_stand_for_the_full_name():
+    text = "Anna Keller asked. Keller, Anna wrote to A. Keller; Ms Keller and Anna agree. Anna Lindholm doesn't."
+    found = P.find(text)
+    whose = dict(zip([text[f.start : f.end] for f in found], P.entities(text, found), strict=True))
+    assert whose == {"Anna Keller": "anna keller", "Keller, Anna": "anna keller", "A. Keller": "anna keller", "Keller": "anna keller", "Anna": "anna", "Anna Lindholm": "anna lindholm"}
+    k = P.Keyed(b"secret")
+    given, last = k.surrogate("person_name", "Anna Keller").split()
+    assert k.surrogate("person_name", "Keller", entity="anna keller") == last
+    assert k.surrogate("person_name", "A. Keller", entity="anna keller") == f"{given[0]}. {last}"
+
+
+@pytest.mark.parametrize(("name", "script"), [("Анна Петрова", r"[А-Я][а-я]+ [А-Я][а-я]+[ая]"), ("Иван Петров", r"[А-Я][а-я]+ [А-Я][а-я]+"), ("田中太郎", r"[一-龠]{4}"), ("サン・ルイ", r"[ァ-ヿ]{2}・[ァ-ヿ]{2}"), ("Greta Tavrinek", r"[A-Z][a-z]+ [A-Z][a-z]+")])
+def test_surrogates_keep_the_script(name, script):
+    assert re.fullmatch(script, P.Keyed(b"secret").surrogate("person_name", name))
+
+
+def test_no_surrogate_is_an_entity_of_the_input(spark):
+    k = P.Keyed(b"key")
+    taken = k.surrogate("person_name", "Anna Keller")
+    texts = {r.id: r.text for r in P.masked(records(spark, [("o", 1, "Ask Anna Keller first.", "k"), ("o", 2, f"Ask {taken} first.", "k")]), "key", surrogates=True).collect()}
+    assert taken not in texts[1] and texts[1] != texts[2]
+    rows = {(r.id, r.no): r for r in P.replacements(records(spark, [("o", 1, "Ask Anna Keller, then Anna.", "k"), ("o", 2, f"Ask {taken} first.", "k")]), "key").collect()}
+    assert rows[1, 1].replacement.split()[0] == rows[1, 2].replacement and rows[1, 1].replacement != taken
