@@ -6,11 +6,12 @@ order). Tokens fall into classes by frequency. In class 1 (rare) a single token
 an index key; in class 2 and 3 (frequent) only combinations of 2 and 3 tokens are, and a prefix
 that reaches into such a class is extended by one or two tokens, which keeps the join exact: of the tokens
 that two extended prefixes must share, enough lie in one class to form a common key. So no
-key is both frequent and cheap to share, and no list of a frequent token is ever joined.
+key is both frequent and cheap to share, and no list of a frequent token is joined. Triples of a long prefix are many, so the combinations
+get smaller as sets get longer; a set near such a border has the keys of both sides, for partners of either.
 
-Frequencies come from a sketch of counters of bounded size, merged by adding and handed
-to all tasks; an estimate that is too high changes the order, which costs time but loses nothing, because all
-records use the same order. Equal sets are one class from the start: a record is represented by the digest of its
+Frequencies come from a sketch of counters of bounded size: tasks count only the slots of their own tokens, slices are added up apart from each other, and
+counts are cut to 16 levels before they are handed to all tasks. An estimate that is too high changes the order, which costs time but loses nothing, because all
+records use the same order; where counters fill up, the classes start above what collisions alone add. Equal sets are one class from the start: a record is represented by the digest of its
 token set. Candidates pass a length filter and a position filter in the join, then a bitmap filter,
 and are verified on the whole sets.
 """
@@ -32,13 +33,16 @@ from pyspark.sql import functions as F
 from ..session import written
 
 _WORD = re.compile(r"[^\W_]+")
-#: Counters of the frequency sketch, as a power of two: 32 a record within these bounds, 128 MB at most. Past about 40 million
-#: records the counters fill up, all tokens look frequent and signatures multiply; the upper bound is then to be raised.
-SKETCH_BITS = (20, 27)
+#: Counters of the frequency sketch, as a power of two: 32 a record within these bounds. A counter is half a byte in a task, 128 MB at most.
+SKETCH_BITS = (20, 28)
 #: Upper frequency of class 1 and of class 2.
 RARE, COMMON = 48, 224
 #: Sets up to this size index all their large subsets instead of a prefix.
 SMALL = 8
+#: Largest sets whose class 3 is indexed by triples, and by pairs; the tokens of classes 2 and 3 of larger sets are keys by themselves.
+TRIPLES, PAIRS = 96, 400
+#: Records a partition of the index, and the most partitions.
+INDEX_RECORDS, INDEX_PARTITIONS = 12_000, 20_000
 #: Bits of the filter of involved records, as a power of two: 8 a record within these bounds, 64 MB at most. A full filter passes all records, which costs time only.
 FILTER_BITS = (20, 29)
 _U = np.uint64
@@ -121,7 +125,7 @@ def _batches(batches: Iterator[pa.RecordBatch], cols: list[str], size: int):
             yield batch, *token_sets(_texts(batch, cols), size)
 
 
-#: Parts of a sketch, merged apart from each other.
+#: Slices of a sketch, merged apart from each other.
 _CHUNKS = 512
 
 
@@ -129,104 +133,170 @@ def _bits(rows: int, each: int, bounds: tuple[int, int]) -> int:
     return min(max((rows * each).bit_length(), bounds[0]), bounds[1])
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers of 32 bits, byte by byte, which packs small numbers well."""
+    return zstandard.ZstdCompressor(level=3).compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+class _Slots:
+    """Counts of the slots met so far; memory follows the slots met, not the sketch."""
+
+    def __init__(self) -> None:
+        self.at, self.n, self.new, self.waiting = np.zeros(0, np.uint32), np.zeros(0, np.int64), [], 0
+
+    def add(self, slots: np.ndarray) -> None:
+        self.new.append(slots.astype(np.uint32))
+        self.waiting += len(slots)
+        if self.waiting > 2_000_000:
+            self.settle()
+
+    def settle(self) -> None:
+        at, n = np.unique(np.concatenate([np.zeros(0, np.uint32), *self.new]), return_counts=True)
+        every, where = np.unique(np.concatenate([self.at, at]), return_inverse=True)
+        self.at, self.n = every, np.bincount(where, np.concatenate([self.n, n]), len(every)).astype(np.int64)
+        self.new, self.waiting = [], 0
+
+    def slices(self, step: int) -> Iterator[tuple[int, bytes, bytes]]:
+        """(slice, gaps of its slots, their counts)"""
+        self.settle()
+        edges = np.searchsorted(self.at, np.arange(0, _CHUNKS + 1, dtype=np.uint64) * _U(step))
+        for k in range(_CHUNKS):
+            a, b = edges[k], edges[k + 1]
+            if a < b:
+                yield k, _pack(np.diff(self.at[a:b] - np.uint32(k * step), prepend=np.uint32(0))), _pack(np.minimum(self.n[a:b], (1 << 32) - 1))
+
+
 def _count(cols: list[str], size: int, bits: int):
-    """Sketch of a task's tokens in _CHUNKS parts, and a row of (digest, id, size, bitmap) for each record."""
+    """Slices of the sketch of a task's tokens, and a row of (digest, id, size, bitmap) for each record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.uint8)
+        met = _Slots()
         for batch, offsets, tokens in _batches(batches, cols, size):
-            at, n = np.unique(tokens & _U((1 << bits) - 1), return_counts=True)
-            counts[at] = np.minimum(counts[at] + n, 255)
+            met.add(tokens & _U((1 << bits) - 1))
             b0, b1 = _bitmaps(offsets, tokens)
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(set_digests(offsets, tokens).view(np.int64)), pa.array(np.diff(offsets).astype(np.int32)), pa.array(b0.view(np.int64)), pa.array(b1.view(np.int64)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
+                [batch.column("id"), pa.array(set_digests(offsets, tokens).view(np.int64)), pa.array(np.diff(offsets).astype(np.int32)), pa.array(b0.view(np.int64)), pa.array(b1.view(np.int64)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.binary())],
                 names=_COUNT_NAMES,
             )
-        if counts.any():
-            step, pack = len(counts) // _CHUNKS, zstandard.ZstdCompressor(level=3)
-            blobs = [pack.compress(counts[k * step : (k + 1) * step].tobytes()) for k in range(_CHUNKS)]
-            none = pa.nulls(_CHUNKS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(_CHUNKS, pa.int32()), none, none, pa.array(range(_CHUNKS), pa.int32()), pa.array(blobs, pa.binary())], names=_COUNT_NAMES)
+        made = list(met.slices((1 << bits) // _CHUNKS))
+        none, small = pa.nulls(len(made), pa.int64()), pa.nulls(len(made), pa.int32())
+        yield pa.RecordBatch.from_arrays([none, none, small, none, none, pa.array([x[0] for x in made], pa.int32()), pa.array([x[1] for x in made], pa.binary()), pa.array([x[2] for x in made], pa.binary())], names=_COUNT_NAMES)
 
     return run
 
 
-_COUNT_NAMES = ["id", "digest", "n", "b0", "b1", "chunk", "counts"]
-_COUNT_DDL = "id long, digest long, n int, b0 long, b1 long, chunk int, counts binary"
+_COUNT_NAMES = ["id", "digest", "n", "b0", "b1", "chunk", "slots", "counts"]
+_COUNT_DDL = "id long, digest long, n int, b0 long, b1 long, chunk int, slots binary, counts binary"
+
+#: Levels from which a token is of class 2 and of class 3; level 0 is a token that no other record has.
+CLASS_2, CLASS_3 = 10, 13
 
 
-def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum of the sketches of each part, saturating; sorted by part, so one sum is held at a time."""
-    now, total = None, None
+def _level_bounds(load: float) -> list[int]:
+    """Least counts of the levels above 0. load: what an average counter holds, by which counts are too high where counters are shared."""
+    x = 2 * int(load)
+    rare, common = RARE + x, COMMON + x
+    return sorted([2, *(min(k + x, rare) for k in (3, 4, 6, 9, 13, 19, 27, 37)), rare + 1, *(rare + 1 + (common - rare) * k // 3 for k in (1, 2)), common + 1, common * 2 + 1, common * 8 + 1])
 
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zstandard.ZstdCompressor(level=3).compress(total.tobytes())], pa.binary())], names=["chunk", "counts"])
 
-    for batch in batches:
-        for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            c = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).astype(np.uint16)
-            if chunk != now:
-                if now is not None:
-                    yield out()
-                now, total = chunk, c.astype(np.uint8)
-            else:
-                total = np.minimum(total + c, 255).astype(np.uint8)
-    if now is not None:
-        yield out()
+def _add_counts(bits: int, load: float):
+    """Levels of the summed counts of each slice, two a byte; sorted by slice, so one sum is held at a time."""
+    step, bounds = (1 << bits) // _CHUNKS, _level_bounds(load)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(0, np.int64)
 
-def _keys_of(tokens: np.ndarray, freq: np.ndarray, t: float) -> list[tuple[int, int]]:
-    """(key, position) pairs of one set, given in the common order."""
+        def out():
+            level = np.searchsorted(bounds, total, side="right").astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zstandard.ZstdCompressor(level=9).compress((level[::2] | level[1::2] << 4).tobytes())], pa.binary())], names=["chunk", "levels"])
+
+        for batch in batches:
+            for chunk, slots, counts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "slots", "counts")), strict=True):
+                if chunk != now:
+                    if now is not None:
+                        yield out()
+                    now, total = chunk, np.zeros(step, np.int64)
+                total[np.cumsum(_unpack(slots), dtype=np.int64)] += _unpack(counts)
+        if now is not None:
+            yield out()
+
+    return run
+
+
+def _combined(head: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all combinations of k of the tokens at these places, and the place of each one's first token."""
+    grid = at[:, None] if k == 1 else np.array(list(combinations(at.tolist(), k)))
+    if k == 1:
+        return head[at].astype(np.int64), at
+    h = np.full(len(grid), _U(k))
+    for j in range(k):
+        h = _mix(h + head[grid[:, j]] * _U(2 * j + 3))
+    return (h >> _U(2)).astype(np.int64), grid[:, 0]
+
+
+def _schemes(n: int, t: float) -> list[tuple[int, int, int]]:
+    """(number, k of class 2, k of class 3) of the schemes that a set of n tokens has keys of: that of its own size and those of larger sets that may be like it."""
+    own = lambda m: 0 if m <= TRIPLES else 1 if m <= PAIRS else 2
+    return [((1, 2, 3), (2, 2, 2), (3, 1, 1))[k] for k in range(own(n), own(math.floor(n / t + 1e-9)) + 1)]
+
+
+def _keys_of(tokens: np.ndarray, level: np.ndarray, t: float) -> list[tuple[int, int, int]]:
+    """(key, position, scheme) triples of one set, given in the common order; scheme 0 is of all schemes."""
     n = len(tokens)
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int, int]] = []
     if n <= SMALL:
         for k in range(math.ceil(t * n - 1e-9), n + 1):
             for part in combinations(sorted(tokens.tolist()), k):
-                out.append((hash((k, *part)) & ((1 << 62) - 1) | (1 << 62), 0))
+                out.append((hash((k, *part)) & ((1 << 62) - 1) | (1 << 62), 0, 0))
     base = n - math.ceil(t * n - 1e-9) + 1
-    kinds = 1 + (freq > RARE).astype(np.int64) + (freq > COMMON)
-    p = base
-    while True:
-        present = set(kinds[:p].tolist())
-        longer = min(n, base + sum(k - 1 for k in present))
-        if longer == p:
-            break
-        p = longer
-    head, kinds = tokens[:p], kinds[:p]
-    single = np.nonzero((kinds == 1) & (freq[:p] > 1))[0]
-    out += zip(head[single].tolist(), single.tolist(), strict=True)
-    for k in (2, 3):
-        at = np.nonzero(kinds == k)[0]
-        if len(at) >= k:
-            grid = np.array(list(combinations(at.tolist(), k)))
-            h = np.full(len(grid), _U(k))
-            for j in range(k):
-                h = _mix(h + head[grid[:, j]] * _U(2 * j + 3))
-            # a combination's tokens are shared together, so its first token bounds the position; before three tokens of class 3
-            # one shared token of class 2 may stand, which has no key of its own (one of class 1 has, and so do two of class 2)
-            first = grid[:, 0] - int(k == 3 and (kinds == 2).any())
-            out += zip((h >> _U(2)).astype(np.int64).tolist(), first.tolist(), strict=True)
+    kinds = 1 + (level >= CLASS_2).astype(np.int64) + (level >= CLASS_3)
+    longest, pairs_of_2 = base, False
+    for scheme, k2, k3 in _schemes(n, t):
+        k_of, p = {1: 1, 2: k2, 3: k3}, base
+        while (longer := min(n, base + sum(k_of[c] - 1 for c in set(kinds[:p].tolist())))) != p:
+            p = longer
+        longest, pairs_of_2 = max(longest, p), pairs_of_2 or k2 == 2
+        for c in (2, 3):
+            at = np.nonzero(kinds[:p] == c)[0]
+            if len(at) >= k_of[c] and not (c == 2 and k2 == 2):
+                key, first = _combined(tokens, at, k_of[c])
+                # a combination's tokens are shared together, so its first token bounds the position; before those of class 3
+                # one shared token of class 2 may stand, which has no key of its own where pairs are (one of class 1 has, and so do two of class 2)
+                first = first - int(c == 3 and k2 == 2 and bool((kinds == 2).any()))
+                out += zip(key.tolist(), first.tolist(), [scheme] * len(key), strict=True)
+    single = np.nonzero((kinds[:longest] == 1) & (level[:longest] > 0))[0]
+    out += zip(tokens[single].tolist(), single.tolist(), [0] * len(single), strict=True)
+    at = np.nonzero(kinds[:longest] == 2)[0]
+    if pairs_of_2 and len(at) > 1:
+        key, first = _combined(tokens, at, 2)
+        out += zip(key.tolist(), first.tolist(), [0] * len(key), strict=True)
     return out
 
 
 def _sign(cols: list[str], size: int, t: float, sketch, bits: int):
-    """(key, digest, n, position) rows; a task emits each set once, as long as it remembers having met it."""
+    """(key, digest, n, position, scheme) rows; a task emits each set once, as long as it remembers having met it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(sketch.value), np.uint8)
+        levels = np.frombuffer(zstandard.ZstdDecompressor().decompress(sketch.value), np.uint8)
         met: OrderedDict[int, None] = OrderedDict()
         for _, offsets, tokens in _batches(batches, cols, size):
             if not len(tokens):
                 continue
             digests = set_digests(offsets, tokens).view(np.int64)
-            freq = counts[tokens & _U((1 << bits) - 1)].astype(np.uint64)
+            slot = tokens & _U((1 << bits) - 1)
+            level = (levels[slot >> _U(1)] >> ((slot & _U(1)) << _U(2)).astype(np.uint8)) & 15
             # order: frequency, then a hash of the token; records stay apart
             doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(offsets))
-            rank = (doc << _U(48)) | (freq << _U(40)) | (_mix(tokens) >> _U(24))
+            rank = (doc << _U(48)) | (level.astype(np.uint64) << _U(40)) | (_mix(tokens) >> _U(24))
             by = np.argsort(rank)
-            tokens, freq = tokens[by], freq[by].astype(np.int64)
-            keys: list[tuple[int, int]] = []
+            tokens, level = tokens[by], level[by].astype(np.int64)
+            keys: list[tuple[int, int, int]] = []
             whose, sizes = [], []
             for k in range(len(offsets) - 1):
                 a, b = offsets[k], offsets[k + 1]
@@ -236,13 +306,13 @@ def _sign(cols: list[str], size: int, t: float, sketch, bits: int):
                 met[d] = None
                 if len(met) > 1_000_000:
                     met.popitem(last=False)
-                mine = _keys_of(tokens[a:b], freq[a:b], t)
+                mine = _keys_of(tokens[a:b], level[a:b], t)
                 keys += mine
                 whose += [d] * len(mine)
                 sizes += [b - a] * len(mine)
             if keys:
-                key, pos = zip(*keys, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(whose, pa.int64()), pa.array(sizes, pa.int32()), pa.array(pos, pa.int32())], names=["key", "digest", "n", "pos"])
+                key, pos, scheme = zip(*keys, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(whose, pa.int64()), pa.array(sizes, pa.int32()), pa.array(pos, pa.int32()), pa.array(scheme, pa.int8())], names=["key", "digest", "n", "pos", "scheme"])
 
     return run
 
@@ -295,52 +365,57 @@ def _gathered(df: DataFrame, column: str, empty: int) -> bytes:
 def _filter_of(pairs: DataFrame, bits: int) -> bytes:
     """Bits of a Bloom filter of the records in pairs; its size doesn't depend on their number."""
 
+    step = (1 << (bits - 3)) // _CHUNKS
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = np.zeros(1 << (bits - 3), np.uint8)
+        met = _Slots()
         for batch in batches:
             for c in ("ra", "rb"):
                 for h in _filter_places(batch.column(c).to_numpy().view(np.uint64), bits):
-                    h = np.unique(h)
-                    np.bitwise_or.at(packed, h >> _U(3), (_U(1) << (h & _U(7))).astype(np.uint8))
-        step = len(packed) // _CHUNKS
-        blobs = [zstandard.ZstdCompressor().compress(packed[k * step : (k + 1) * step].tobytes()) for k in range(_CHUNKS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), pa.array(blobs, pa.binary())], names=["chunk", "bits"])
+                    met.add(h)
+        made = list(met.slices(step * 8))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.int32()), pa.array([x[1] for x in made], pa.binary())], names=["chunk", "slots"])
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, blob in zip(batch.column("chunk").to_pylist(), batch.column("bits").to_pylist(), strict=True):
-                x = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-                now[k] = x if k not in now else now[k] | x
+            for k, blob in zip(batch.column("chunk").to_pylist(), batch.column("slots").to_pylist(), strict=True):
+                at = np.cumsum(_unpack(blob), dtype=np.int64)
+                np.bitwise_or.at(now.setdefault(k, np.zeros(step, np.uint8)), at >> 3, (1 << (at & 7)).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array(now.keys(), pa.int32()), pa.array([zstandard.ZstdCompressor().compress(x.tobytes()) for x in now.values()], pa.binary())], names=["chunk", "bits"])
 
-    made = pairs.select("ra", "rb").mapInArrow(build, "chunk int, bits binary")
+    made = pairs.select("ra", "rb").mapInArrow(build, "chunk int, slots binary")
     return _gathered(made.repartition("chunk").mapInArrow(unite, "chunk int, bits binary"), "bits", 1 << (bits - 3))
 
 
-def similar_classes(records: DataFrame, cols: list[str], threshold: float = 0.8, size: int = 5) -> tuple[DataFrame, DataFrame]:
+def similar_classes(records: DataFrame, cols: list[str], threshold: float = 0.8, size: int = 5, sketch_bits: int = SKETCH_BITS[1]) -> tuple[DataFrame, DataFrame]:
     """members (id, digest) and links (a, b, similarity): records by class of equal token sets, and the pairs of
     classes, as digests with a < b, whose Jaccard similarity is at least the threshold (over 0.5).
 
     records: id and the text columns, which are joined by a blank; a null text is empty. Words are the longest runs of letters
     and digits, in lower case. Texts of fewer words than a shingle have no tokens; they are in
-    no class and like nothing. Texts are used whole, and each id once.
+    no class and like nothing. Texts are used whole, and each id once. sketch_bits (10 at least) bounds the sketch to 2 ** sketch_bits counters of half a byte.
     """
     sc = records.sparkSession.sparkContext
     rows = records.select("id", *(F.col(c).alias(f"t{k}") for k, c in enumerate(cols)))
     names = [f"t{k}" for k in range(len(cols))]
     n = records.count()
-    bits, filter_bits = _bits(n, 32, SKETCH_BITS), _bits(n, 8, FILTER_BITS)
+    bits, filter_bits = _bits(n, 32, (min(SKETCH_BITS[0], max(10, sketch_bits)), max(10, sketch_bits))), _bits(n, 8, FILTER_BITS)
     counted = written(rows.mapInArrow(_count(names, size, bits), _COUNT_DDL), "tokens")
-    sums = counted.filter("chunk is not null").select("chunk", "counts").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_add_counts, "chunk int, counts binary")
-    sketch = sc.broadcast(_gathered(sums, "counts", 1 << bits))
+    load = (counted.agg(F.sum("n")).first()[0] or 0) / (1 << bits)
+    sums = counted.filter("chunk is not null").select("chunk", "slots", "counts").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_add_counts(bits, load), "chunk int, levels binary")
+    sketch = sc.broadcast(_gathered(sums, "levels", 1 << (bits - 1)))
     members = counted.filter("n > 0").select("id", "digest")
 
-    signed = rows.mapInArrow(_sign(names, size, threshold, sketch, bits), "key long, digest long, n int, pos int")
-    x = signed.select("key", F.col("digest").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    y = signed.select("key", F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    partitions = min(max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // INDEX_RECORDS), INDEX_PARTITIONS)
+    signed = rows.mapInArrow(_sign(names, size, threshold, sketch, bits), "key long, digest long, n int, pos int, scheme byte").repartition(partitions, "key")
+    x = signed.select("key", F.col("digest").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), "scheme")
+    y = signed.select("key", F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("scheme").alias("scheme_b"))
+    larger = F.greatest("na", "nb")
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
-    alike = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
+    alike = (F.col("a") < F.col("b")) & (F.col("scheme") == F.col("scheme_b")) & (F.least("na", "nb") >= larger * threshold - 1e-9) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
+    # the larger set of a pair decides whose keys count
+    alike = alike & ((F.col("scheme") == 0) | (F.col("scheme") == F.when(larger <= TRIPLES, 1).when(larger <= PAIRS, 2).otherwise(3)))
     candidates = x.join(y, "key").filter(alike).select("a", "b").distinct()
 
     bits = counted.filter("n > 0").groupBy("digest").agg(F.min("n").alias("n"), F.min("b0").alias("b0"), F.min("b1").alias("b1"), F.min("id").alias("r"))
@@ -357,9 +432,9 @@ def similar_classes(records: DataFrame, cols: list[str], threshold: float = 0.8,
     return members, links
 
 
-def similar_pairs(records: DataFrame, cols: list[str], threshold: float = 0.8, size: int = 5) -> DataFrame:
+def similar_pairs(records: DataFrame, cols: list[str], threshold: float = 0.8, size: int = 5, sketch_bits: int = SKETCH_BITS[1]) -> DataFrame:
     """id_a, id_b (id_a < id_b): every pair of records whose similarity is at least the threshold, pairs of copies included."""
-    members, links = similar_classes(records, cols, threshold, size)
+    members, links = similar_classes(records, cols, threshold, size, sketch_bits)
     members = members.distinct()
     both = links.select("a", "b").unionByName(members.groupBy("digest").agg(F.countDistinct("id").alias("n")).filter("n > 1").select(F.col("digest").alias("a"), F.col("digest").alias("b")))
     x = members.select(F.col("digest").alias("a"), F.col("id").alias("ia"))

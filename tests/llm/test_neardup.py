@@ -72,3 +72,58 @@ def test_bitmaps_bound_the_difference():
         xs = [N._bitmaps(np.array([0, len(x)]), x) for x in (a, b)]
         bits = sum(int(np.bitwise_xor(p[0], q[0])).bit_count() for p, q in zip(*xs, strict=True))
         assert bits <= len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize(("triples", "pairs", "rare", "common"), [(6, 14, 2, 4), (10, 12, 1, 2), (0, 9, 1, 3), (0, 0, 2, 4)])
+def test_no_link_is_lost_between_sizes(monkeypatch, triples, pairs, rare, common):
+    """Common keys of all similar pairs, whose sizes lie on either side of the borders of the schemes, and within the position filter."""
+    monkeypatch.setattr(N, "TRIPLES", triples)
+    monkeypatch.setattr(N, "PAIRS", pairs)
+    r = np.random.default_rng(5)
+    level_of = np.minimum(r.integers(0, 16, 60), 15)
+    for t in (0.6, 0.8):
+        sets = []
+        for _ in range(60):
+            a = r.choice(60, r.integers(3, 30), replace=False)
+            b = np.setdiff1d(a, r.choice(a, r.integers(0, 4)))
+            sets += [a, np.union1d(b, r.integers(0, 60, r.integers(0, 5)))]
+        signed = []
+        for x in sets:
+            by = sorted(set(x.tolist()), key=lambda v: (level_of[v], v))
+            signed.append((set(by), N._keys_of(np.array(by, np.uint64), level_of[by], t)))
+        for k, (a, keys_a) in enumerate(signed):
+            for b, keys_b in signed[k + 1 :]:
+                if a and b and len(a & b) >= t * len(a | b) - 1e-9 and not (a & b <= {v for v in a & b if level_of[v] == 0}):
+                    if any(level_of[v] == 0 for v in a & b):
+                        continue  # a token of level 0 is in one set only
+                    large = max(len(a), len(b))
+                    scheme = 1 if large <= triples else 2 if large <= pairs else 3
+                    need = int(np.ceil(t / (1 + t) * (len(a) + len(b)) - 1e-9))
+                    mine = {}
+                    for key, pos, s in keys_a:
+                        mine.setdefault((key, s), []).append(pos)
+                    assert any(s in (0, scheme) and min(len(a) - p, len(b) - q) >= need for key, q, s in keys_b for p in mine.get((key, s), []))
+
+
+def test_a_full_sketch_and_long_sets_of_frequent_tokens(spark):
+    r = random.Random(9)
+    common = [f"c{k}" for k in range(700)]
+    rows = [(k, " ".join(common if k < 60 else r.sample(common, 500)) + f" own{k}") for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, content string").repartition(3)
+    got = {(x.id_a, x.id_b) for x in N.similar_pairs(df, ["content"], 0.8, 1, sketch_bits=10).collect()}  # some 150 counts a counter
+    assert got == brute(rows, 0.8, 1)
+    tokens = np.arange(3000, dtype=np.uint64)
+    assert len(N._keys_of(tokens, np.full(3000, 15), 0.6)) < 3000
+
+
+def test_slots():
+    r = np.random.default_rng(3)
+    x = r.integers(0, 1 << 20, 50_000).astype(np.uint64)
+    met = N._Slots()
+    for k in range(0, len(x), 777):
+        met.add(x[k : k + 777])
+    back = {}
+    for k, slots, counts in met.slices((1 << 20) // N._CHUNKS):
+        back |= zip((np.cumsum(N._unpack(slots), dtype=np.int64) + k * ((1 << 20) // N._CHUNKS)).tolist(), N._unpack(counts).tolist(), strict=True)
+    at, n = np.unique(x, return_counts=True)
+    assert back == dict(zip(at.tolist(), n.tolist(), strict=True))
