@@ -1,16 +1,17 @@
 """Records that say the same in another form: one fingerprint whatever the format.
 
-A text is cut into named fields (labels at the start of a line or part, as JSON, as
-lines or on one line) and the text outside them. A value runs to the next label; as the text behind
+A text is cut into named fields (labels at the start of a line or part, on lines or on one line) and the text outside them. Several readings of a text
+are kept: by the labels that are known, by all names that stand where a label may, and, of an object in JSON, by its parsed members. A value runs to the next label; as the text behind
 the last value may be its own or stand apart, each line it may end with is a reading of its own. Of each name and value only letters and digits
 count, without case. The hashes of the (name, value) pairs are added up, so the order of
 fields doesn't matter and nothing is sorted; equal sums are one group. A copy whose labels
 lost their marks can't be cut into fields; it is led to its group by the hash
-of the whole text. Groups are then verified pair by pair on the texts themselves.
+of the whole text. Groups are then verified pair by pair on the texts themselves. A text, group or holder that many records share is joined apart from the others.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections import Counter
@@ -22,15 +23,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import join_with_hot_keys, written
 
 #: Names of labelled fields (fixed values of the data).
-LABELS = ("what", "why", "where", "learned", "next", "impact", "task", "file", "symbol", "ticket", "limit")
-_START = re.compile(r"(?:^|[\n\r{|·;,.?!…\"”)}\]:]|\s[-–—‑]\s)[^\w\n\r]*$")
+LABELS = frozenset("what why where learned next impact task file symbol ticket limit".split())
+#: A label stands at the start of a line, or one of these, or a dash between blanks, comes before it.
+_BEFORE = frozenset("{|·;,.?!…\"”)}]:")
+_DASH = re.compile(r"\s[-–—‑]\s")
+_SIGN = re.compile("[:=]")
+_CLOSING = frozenset("*_\"'`)] \t\n\r\f\v\u00a0")
 _ESCAPE = re.compile(r"\\(u[0-9a-f]{4}|.)", re.I)
 _DROP = re.compile(r"[\W_]+")
 _M = (1 << 128) - 1
-_NAME = re.compile(r"\b(" + "|".join(LABELS) + r")[*_\"'`)\]\s]*[:=]", re.I)
 
 
 def plain(text: str | None) -> str:
@@ -48,23 +52,78 @@ def _unescape(value: str) -> str:
     return re.sub("[\ud800-\udfff]", "", _ESCAPE.sub(one, value)) if "\\" in value else value
 
 
-def _parts(text: str | None) -> tuple[str, list[tuple[str, str]], str, list[tuple[str, str]]]:
+def _marks(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, name) of all names that stand where a label may, each with the colon or equals sign behind it."""
+    out = []
+    for m in _SIGN.finditer(text):
+        end = m.start()
+        while end and text[end - 1] in _CLOSING:
+            end -= 1
+        at = end
+        while at and (text[at - 1].isalnum() or text[at - 1] == "_"):
+            at -= 1
+        while at < end and text[at] == "_":
+            at += 1
+        if at == end or not text[at].isalpha() or out and at < out[-1][1]:
+            continue
+        k = at
+        while k and not (text[k - 1].isalnum() or text[k - 1] in "\n\r"):
+            k -= 1
+        if k == 0 or text[k - 1] in "\n\r" or any(c in _BEFORE for c in text[k:at]) or _DASH.search(text, k, at):
+            out.append((at, m.end(), text[at:end].casefold()))
+    return out
+
+
+def _members(text: str) -> list[tuple[str, str]] | None:
+    """(name, value) of the members of an object in JSON, as they would stand in other layouts; None if the text is none."""
+    if not text.startswith("{"):
+        return None
+    try:
+        pairs = json.loads(text, object_pairs_hook=lambda x: x, parse_int=str, parse_float=str)
+    except (ValueError, RecursionError):
+        return None
+
+    def said(x) -> str:
+        if isinstance(x, (list, tuple)):
+            return "".join(map(said, x))
+        return plain(x) if isinstance(x, str) else {True: "true", False: "false", None: "null"}[x]
+
+    return [(k.casefold(), said(v)) for k, v in pairs]
+
+
+_Parts = tuple[str, list[tuple[str, str]], str, list[tuple[str, str]]]
+
+
+def _parts(text: str | None, marks: list[tuple[int, int, str]] | None = None) -> _Parts:
     """The text before the fields; (name, value) of all fields but the last; the last one's name, and each of its lines as value and as text.
 
-    A value runs to the next label, over line breaks too. Where the last one ends only its lines can tell. All but names are plain.
+    A value runs to the next label, over line breaks too. Where the last one ends only its lines can tell. All but names are plain. Without marks those of LABELS are taken.
     """
     text = text or ""
-    marks = [m for m in _NAME.finditer(text) if _START.search(text, max(0, m.start() - 12), m.start())]
+    marks = [m for m in _marks(text) if m[2] in LABELS] if marks is None else marks
     if not marks:
         return plain(text), [], "", []
     named: list[tuple[str, str]] = []
-    for m, after in zip(marks, [*marks[1:], None], strict=True):
-        name, quoted = m.group(1).casefold(), text[m.start() - 1 : m.start()] in ('"', "“")
-        piece = text[m.end() : after.start() if after else len(text)]
+    for (start, end, name), after in zip(marks, [*marks[1:], None], strict=True):
+        quoted = text[start - 1 : start] in ('"', "“")
+        piece = text[end : after[0] if after else len(text)]
         if after:
             named.append((name, plain(_unescape(piece) if quoted else piece)))
     lines = [(plain(_unescape(x) if quoted else x), plain(x)) for x in piece.split("\n")]
-    return plain(text[: marks[0].start()]), named, name, [x for x in lines if any(x)]
+    return plain(text[: marks[0][0]]), named, name, [x for x in lines if any(x)]
+
+
+def _all_parts(text: str | None) -> list[_Parts]:
+    """The readings by known labels, by all names, and as JSON; the first is that by known labels."""
+    text = text or ""
+    every = _marks(text)
+    known = [m for m in every if m[2] in LABELS]
+    out = [_parts(text, known)]
+    if len(every) > len(known):
+        out.append(_parts(text, every))
+    if members := _members(text.strip()):
+        out.append(("", members, "", []))
+    return out
 
 
 def _cuts(lines: list[tuple[str, str]]) -> range:
@@ -75,7 +134,7 @@ def _cuts(lines: list[tuple[str, str]]) -> range:
 
 def _reading(parts: tuple, cut: int) -> list[tuple[str, str]]:
     before, named, name, lines = parts
-    out = [*named, (name, "".join(x[0] for x in lines[:cut]))] if name else []
+    out = [*named, (name, "".join(x[0] for x in lines[:cut]))] if name else [*named]
     rest = before + "".join(x[1] for x in lines[cut:])
     return [*out, ("", rest)] if rest else out
 
@@ -87,9 +146,8 @@ def fields(text: str | None) -> list[tuple[str, str]]:
 
 
 def readings(text: str | None) -> list[list[tuple[str, str]]]:
-    """fields() for each line that the last value may end with."""
-    parts = _parts(text)
-    return [_reading(parts, cut) for cut in _cuts(parts[3])]
+    """All readings of a text, each for each line that its last value may end with."""
+    return [_reading(parts, cut) for parts in _all_parts(text) for cut in _cuts(parts[3])]
 
 
 def _hash(x: str, seed: int = 0) -> int:
@@ -124,12 +182,13 @@ def _reading_hashes(parts: tuple, column: int) -> list[int]:
 
 def _all_fingerprints(texts: list[str | None]) -> tuple[int, list[int], bool]:
     """fingerprints(), with the hashes of all readings of the columns together; the first is that of fields()."""
-    parts = [_parts(t) for t in texts]
+    parts = [_all_parts(t) for t in texts]
     whole = sum(_hash(plain(t), k + 1) for k, t in enumerate(texts)) & _M
     named = [0]
     for k, p in enumerate(parts):
-        named = [(x + h) & _M for x in named for h in _reading_hashes(p, k)]
-    return whole, list(dict.fromkeys(named)), not any(p[2] for p in parts)
+        hashes = dict.fromkeys(h for one in p for h in _reading_hashes(one, k))
+        named = [(x + h) & _M for x in named for h in hashes]
+    return whole, list(dict.fromkeys(named)), not any(p[0][2] for p in parts)
 
 
 def fingerprints(texts: list[str | None]) -> tuple[int, int, bool]:
@@ -170,9 +229,9 @@ def _differing(n: int):
     """Pairs whose texts aren't the same after all: neither their plain texts nor the fields of any reading agree."""
 
     def read_alike(x: str | None, y: str | None) -> bool:
-        p, q = _parts(x), _parts(y)
-        cuts = dict(zip(_reading_hashes(q, 0), _cuts(q[3]), strict=True))
-        return any(h in cuts and Counter(_reading(p, cut)) == Counter(_reading(q, cuts[h])) for h, cut in zip(_reading_hashes(p, 0), _cuts(p[3]), strict=True))
+        by_hash = lambda text: {h: (p, cut) for p in _all_parts(text) for h, cut in zip(_reading_hashes(p, 0), _cuts(p[3]), strict=True)}
+        p, q = by_hash(x), by_hash(y)
+        return any(h in q and Counter(_reading(*p[h])) == Counter(_reading(*q[h])) for h in p)
 
     def same(a: list, b: list) -> bool:
         return all(plain(x) == plain(y) for x, y in zip(a, b, strict=True)) or all(read_alike(x, y) for x, y in zip(a, b, strict=True))
@@ -208,9 +267,9 @@ def _grouped(keys: DataFrame, whole: list[str], field: list[str]) -> tuple[DataF
             break
     labels = now.select(*whole, "label").distinct()
     texts = edges.groupBy(*whole).agg(F.min("low").alias("holder")).join(labels, whole, "left").withColumn("label", F.coalesce("label", "holder"))
-    members = keys.select(*whole, "id").distinct().join(texts, whole)
+    members = join_with_hot_keys(keys.select(*whole, "id").distinct(), texts, whole[1], also=[c for c in whole if c != whole[1]])
     groups = members.groupBy("part", "label").agg(F.min("id").alias("first_id"), F.max("id").alias("last")).filter("first_id < last").drop("last")
-    copies = written(members.join(groups, ["part", "label"]).select("part", "id", "holder", "first_id"), "copies")
+    copies = written(join_with_hot_keys(members, groups, "label", also=["part"]).select("part", "id", "holder", "first_id"), "copies")
     pairs = copies.filter("id <> holder").select("part", "id", F.col("holder").alias("other"))
     return copies.select("part", "id", "first_id"), pairs.unionByName(links.filter("low <> other").select("part", F.col("low").alias("id"), "other")).distinct()
 
@@ -228,7 +287,7 @@ def format_copies(records: DataFrame, texts: list[str]) -> DataFrame:
     keys = written(rows.mapInArrow(_fingerprint_rows(n), f"part string, id long, {_KEYS}"), "formats")
     copies, pairs = _grouped(keys, _WHOLE, _FIELD)
     other = rows.select(F.col("part"), F.col("id").alias("other"), *(F.col(f"t{k}").alias(f"u{k}") for k in range(n)))
-    checked = pairs.join(rows, ["part", "id"]).join(other, ["part", "other"])
+    checked = join_with_hot_keys(pairs, other, "other", also=["part"]).join(rows, ["part", "id"])
     wrong = written(checked.mapInArrow(_differing(n), "part string, id long"), "wrong")
     if wrong.isEmpty():
         return copies

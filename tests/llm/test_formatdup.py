@@ -82,3 +82,12 @@ def _all_alike(n):
 
 def test_empty(spark):
     assert D.format_copies(rows(spark, []), ["title", "content"]).count() == 0
+
+
+def test_fields_of_any_name_and_parsed_objects(spark):
+    same = ["Severity: high.\nOwner_team: core\nCount: 5", "Count: 5; Owner_team: core; Severity: high", '{"count": 5, "owner_team": "Core", "severity": "high"}', "_Owner_team_: core | _Severity_: high | _Count_: 5"]
+    data = [("o", k, "T", t, 0) for k, t in enumerate(same)] + [("o", 9, "T", "Severity: core.\nOwner_team: high\nCount: 5", 0)]
+    data += [("o", 20, "T", '{"a": {"b": [1, "x"], "c": null}, "d": true}', 0), ("o", 21, "T", '{"d": true, "a": {"b": [1.0, "x"], "c": null}}', 0), ("o", 22, "T", "D: true\nA: b1xcnull", 0), ("o", 23, "T", '{"d": true, "a": {"b": [1, "x"], "c": null}', 0)]
+    data += [("o", 30, "T", "What: a" + " " * 40 + "| " + "*" * 30 + "Why: b", 0), ("o", 31, "T", "Why: b\nWhat: a", 0)]
+    got = {(r.id, r.first_id) for r in D.format_copies(rows(spark, data), ["title", "content"]).collect()}
+    assert got == {(k, 0) for k in range(4)} | {(20, 20), (22, 20), (23, 20), (30, 30), (31, 30)}
