@@ -108,8 +108,10 @@ _S = rf"(?:{_S1}(?:-{_S1})?)"
 _SLOW = r"(?:[a-zà-öø-ÿß]{4,}(?:-[a-zà-öø-ÿß]{4,})?)"
 _NAME = re.compile(
     rf"(?<![\w/._+-])(?:{_GANY}(?: [A-Z]\.)? {_S}|{_S}, {_GANY}(?: [A-Z]\.)?|{_GANY}(?: [A-Z]\.)? {_SLOW}(?=[ .,;:!?\"')<(]|$)|{_SLOW}, {_GANY}|{_GANY} [A-Z]\.|(?:[A-Z]\.\s?){{1,2}}{_S}|{_GANY})(?![\w/@_+]|\.\w|-\w)"
-    rf"|(?<=Ms ){_S}|(?<=Mr ){_S}|(?<=Dr ){_S}|(?<=Mrs ){_S}|(?<=Dr\. ){_S}|(?<=Mr\. ){_S}|(?<=Ms\. ){_S}|(?<=MS ){_S}|(?<=DR\. ){_S}|(?<=Herr ){_S}|(?<=Frau ){_S}|(?<=Mme ){_S}|(?<=Prof\. ){_S}|(?<=Señor ){_S}|(?<=Señora ){_S}|(?<=\bms ){_SLOW}|(?<=\bmr ){_SLOW}|(?<=\bmrs ){_SLOW}|(?<=\bdr ){_SLOW}|(?<=\bms\. ){_SLOW}|(?<=\bmr\. ){_SLOW}|(?<=\bdr\. ){_SLOW}|(?<=\bprof\. ){_SLOW}"
+    rf"|(?<=Ms ){_S}|(?<=Mr ){_S}|(?<=Dr ){_S}|(?<=Mrs ){_S}|(?<=Dr\. ){_S}|(?<=Mr\. ){_S}|(?<=Ms\. ){_S}|(?<=MS ){_S}|(?<=DR\. ){_S}|(?<=Herr ){_S}|(?<=Frau ){_S}|(?<=Mme ){_S}|(?<=Prof\. ){_S}|(?<=Señor ){_S}|(?<=Señora ){_S}"
 )
+#: The same with titles in lower case, for texts all in lower case.
+_LOW_NAME = re.compile(_NAME.pattern + rf"|(?<=\bms ){_SLOW}|(?<=\bmr ){_SLOW}|(?<=\bmrs ){_SLOW}|(?<=\bdr ){_SLOW}|(?<=\bms\. ){_SLOW}|(?<=\bmr\. ){_SLOW}|(?<=\bdr\. ){_SLOW}|(?<=\bprof\. ){_SLOW}")
 _LOW_TITLE = re.compile(r"(?:^|[^\W\d_] |[^\w\s] )(?:ms|mrs?|dr|prof)\.? $")
 #: Names of which no part is known: two capitalised words where a person is addressed, named as the doer, or does what people do.
 _C = r"[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ][a-zà-öø-ÿ'’-]*"
@@ -118,6 +120,9 @@ _ROLE = re.compile(
     rf"(?:(?:^|(?<=[.!?:;\n] ))(?i:cc|attn|ask|ping|thanks|thank you|dear|hi|hello|contact)|\b(?:cc|attn|ask|ping|thanks|dear|contact|told|(?:[Rr]eported|[Ww]ritten|[Aa]pproved|[Rr]eviewed|[Ss]igned|[Oo]wned|[Aa]ssigned|[Rr]aised|[Ff]iled|[Ss]uggested) (?:by|to))|\b(?i:owner|author|assignee|reviewer|on call):)[:,]? ({_PAIR})(?![\w/@-])"
     rf"|(?<![\w./@-])({_PAIR}) (?:asked|said|says|wrote|writes|thinks|wants|approved|reviewed|reported|replied|signed|confirmed|agreed|agrees|disagrees?|suggested|noted|told)\b",
 )
+_ROLE_WORDS = frozenset("cc attn ask ping thanks thank dear hi hello contact told reported written approved reviewed signed owned assigned raised filed suggested owner author assignee reviewer call "
+                        "asked said says wrote writes thinks wants replied confirmed agreed agrees disagree disagrees noted".split())
+_HAS_PAIR = re.compile(_PAIR)
 _NO_NAME = frozenset("the a an of with from for this that these those we they it its our your their all any each every no not new old on in at by to and or but if when while where which who what how is are was were be has have had do does did can will please also then after before since over under".split())
 _SLAVIC = re.compile(r"(?<!\w)[А-ЯЁ](?:[а-яё]+|\.) ?(?:[А-ЯЁ](?:[а-яё]+(?:вич|вна|чна)|\.) ?)?[А-ЯЁ][а-яё]+(?:ов|ова|ев|ева|ёв|ёва|ин|ина|ын|ына|ский|ская|цкий|цкая|енко|чук|юк|як|ян|дзе|швили)(?!\w)")
 _HONORED = re.compile(r"(?:[一-龠々]{2,4}(?:[ 　]?[一-龠々ぁ-ん]{1,4})??|[ァ-ヶー]{2,12}(?:[・ 　=][ァ-ヶー]{2,12}){0,2})(?=さん|様|氏(?![名])|先生|殿(?!堂))")
@@ -132,7 +137,8 @@ _CAN_BE_WORD = frozenset("may will mark grace rose hope summer june april iris i
 _HAS_AT = re.compile(r"@|[\[({<]\s?at\s?[\])}>]|\sdot\s|＠|&#64;|%40", re.I)
 _HAS_STREET = re.compile(r"\d\s?[A-Za-z]?\s+(?:\w+\.?\s+){0,4}?(?:Str|St\b|R[od]|Av|B[lo]|L[an]|D[r]|C[ltr]|M[ew]|Ro|Wa|P[lk]|S[q]|Te|Ga|Gr|Pa)|str\.|stra(?:ß|ss)e|gasse\s|weg\s|allee\s|platz\s|damm\s|ring\s\d|ufer\s|\d\s?(?:bis|ter)?,?\s(?:rue|avenue|chemin|boulevard|bd|allée|place|impasse|quai|route|cours)\s|C/|Calle|Avenida|Avda|Av\.|Plaza|Paseo|Camino|Carrer|Ronda")
 _HAS_NUMBER = re.compile(r"\d[\d ().\-/+]{5,}\d|[A-Za-z]\d{6}")
-_HAS_PERSON = re.compile(r"(?<![\w.])[A-Z]\.\s?[A-ZÀ-Ý][A-Za-zà-ÿ]|\b(?:Ms|Mrs?|Dr|Herr|Frau|Mme|Prof|Señora?|MS|DR)\b|(?<!\d )\b(?:ms|mrs?|dr|prof)\.? [a-z]")
+_HAS_PERSON = re.compile(r"(?<![\w.])[A-Z]\.\s?[A-ZÀ-Ý][A-Za-zà-ÿ]|\b(?:Ms|Mrs?|Dr|Herr|Frau|Mme|Prof|Señora?|MS|DR)\b")
+_HAS_LOW_TITLE = re.compile(r"(?<!\d )\b(?:ms|mrs?|dr|prof)\.? [a-z]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _INITIAL_BEFORE = re.compile(r"(?:^|[\s(<\"'“:;,>{\[|])$")
 
@@ -149,8 +155,9 @@ def _role_spans(text: str) -> list[tuple[int, int]]:
 def _name_spans(text: str) -> list[tuple[int, int]]:
     out = []
     low_text = text.islower()
+    name = _LOW_NAME if low_text else _NAME
     at = 0
-    while m := _NAME.search(text, at):
+    while m := name.search(text, at):
         a, b = m.span()
         said = m.group(0)
         words = said.replace(",", " ").split()
@@ -204,9 +211,11 @@ def find(text: str | None) -> list[Found]:
     if _HAS_NUMBER.search(taken):
         take("id_number", [m.span() for m in _ID.finditer(taken)])
         take("phone", [m.span() for m in _PHONE.finditer(taken)])
-    if not _GIVEN.keys().isdisjoint(_LETTERS.findall(taken.casefold())) or _HAS_PERSON.search(taken):
+    words = set(_LETTERS.findall(taken.casefold()))
+    if not _GIVEN.keys().isdisjoint(words) or _HAS_PERSON.search(taken) or lower and _HAS_LOW_TITLE.search(taken):
         take("person_name", _name_spans(taken))
-    take("person_name", _role_spans(taken))
+    if not _ROLE_WORDS.isdisjoint(words) and _HAS_PAIR.search(taken) or _OTHER_SCRIPT.search(taken):
+        take("person_name", _role_spans(taken))
     return sorted(out, key=lambda f: f.start)
 
 
