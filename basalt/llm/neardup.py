@@ -233,11 +233,11 @@ def _combined(head: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.
     """Keys of all combinations of k of the tokens at these places, and the place of each one's first token."""
     grid = at[:, None] if k == 1 else np.array(list(combinations(at.tolist(), k)))
     if k == 1:
-        return head[at].astype(np.int64), at
+        return (head[at] << _U(2)).astype(np.int64), at
     h = np.full(len(grid), _U(k))
     for j in range(k):
         h = _mix(h + head[grid[:, j]] * _U(2 * j + 3))
-    return (h >> _U(2)).astype(np.int64), grid[:, 0]
+    return (h >> _U(4) << _U(2)).astype(np.int64), grid[:, 0]
 
 
 def _schemes(n: int, t: float) -> list[tuple[int, int, int]]:
@@ -246,14 +246,14 @@ def _schemes(n: int, t: float) -> list[tuple[int, int, int]]:
     return [((1, 2, 3), (2, 2, 2), (3, 1, 1))[k] for k in range(own(n), own(math.floor(n / t + 1e-9)) + 1)]
 
 
-def _keys_of(tokens: np.ndarray, level: np.ndarray, t: float) -> list[tuple[int, int, int]]:
-    """(key, position, scheme) triples of one set, given in the common order; scheme 0 is of all schemes."""
+def _keys_of(tokens: np.ndarray, level: np.ndarray, t: float) -> list[tuple[int, int]]:
+    """(key, position) pairs of one set, given in the common order. The last two bits of a key tell its scheme; 0 is of all schemes."""
     n = len(tokens)
-    out: list[tuple[int, int, int]] = []
+    out: list[tuple[int, int]] = []
     if n <= SMALL:
         for k in range(math.ceil(t * n - 1e-9), n + 1):
             for part in combinations(sorted(tokens.tolist()), k):
-                out.append((hash((k, *part)) & ((1 << 62) - 1) | (1 << 62), 0, 0))
+                out.append((hash((k, *part)) & ((1 << 62) - 4) | (1 << 62), 0))
     base = n - math.ceil(t * n - 1e-9) + 1
     kinds = 1 + (level >= CLASS_2).astype(np.int64) + (level >= CLASS_3)
     longest, pairs_of_2 = base, False
@@ -269,18 +269,18 @@ def _keys_of(tokens: np.ndarray, level: np.ndarray, t: float) -> list[tuple[int,
                 # a combination's tokens are shared together, so its first token bounds the position; before those of class 3
                 # one shared token of class 2 may stand, which has no key of its own where pairs are (one of class 1 has, and so do two of class 2)
                 first = first - int(c == 3 and k2 == 2 and bool((kinds == 2).any()))
-                out += zip(key.tolist(), first.tolist(), [scheme] * len(key), strict=True)
+                out += zip((key | scheme).tolist(), first.tolist(), strict=True)
     single = np.nonzero((kinds[:longest] == 1) & (level[:longest] > 0))[0]
-    out += zip(tokens[single].tolist(), single.tolist(), [0] * len(single), strict=True)
+    out += zip((tokens[single] << _U(2)).tolist(), single.tolist(), strict=True)
     at = np.nonzero(kinds[:longest] == 2)[0]
     if pairs_of_2 and len(at) > 1:
         key, first = _combined(tokens, at, 2)
-        out += zip(key.tolist(), first.tolist(), [0] * len(key), strict=True)
+        out += zip(key.tolist(), first.tolist(), strict=True)
     return out
 
 
 def _sign(cols: list[str], size: int, t: float, sketch, bits: int):
-    """(key, digest, n, position, scheme) rows; a task emits each set once, as long as it remembers having met it."""
+    """(key, digest, n, position) rows; a task emits each set once, as long as it remembers having met it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(zstandard.ZstdDecompressor().decompress(sketch.value), np.uint8)
@@ -296,7 +296,7 @@ def _sign(cols: list[str], size: int, t: float, sketch, bits: int):
             rank = (doc << _U(48)) | (level.astype(np.uint64) << _U(40)) | (_mix(tokens) >> _U(24))
             by = np.argsort(rank)
             tokens, level = tokens[by], level[by].astype(np.int64)
-            keys: list[tuple[int, int, int]] = []
+            keys: list[tuple[int, int]] = []
             whose, sizes = [], []
             for k in range(len(offsets) - 1):
                 a, b = offsets[k], offsets[k + 1]
@@ -311,8 +311,8 @@ def _sign(cols: list[str], size: int, t: float, sketch, bits: int):
                 whose += [d] * len(mine)
                 sizes += [b - a] * len(mine)
             if keys:
-                key, pos, scheme = zip(*keys, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(whose, pa.int64()), pa.array(sizes, pa.int32()), pa.array(pos, pa.int32()), pa.array(scheme, pa.int8())], names=["key", "digest", "n", "pos", "scheme"])
+                key, pos = zip(*keys, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(whose, pa.int64()), pa.array(sizes, pa.int32()), pa.array(pos, pa.int32())], names=["key", "digest", "n", "pos"])
 
     return run
 
@@ -408,14 +408,15 @@ def similar_classes(records: DataFrame, cols: list[str], threshold: float = 0.8,
     members = counted.filter("n > 0").select("id", "digest")
 
     partitions = min(max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // INDEX_RECORDS), INDEX_PARTITIONS)
-    signed = rows.mapInArrow(_sign(names, size, threshold, sketch, bits), "key long, digest long, n int, pos int, scheme byte").repartition(partitions, "key")
-    x = signed.select("key", F.col("digest").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), "scheme")
-    y = signed.select("key", F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("scheme").alias("scheme_b"))
+    signed = rows.mapInArrow(_sign(names, size, threshold, sketch, bits), "key long, digest long, n int, pos int").repartition(partitions, "key")
+    x = signed.select("key", F.col("digest").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    y = signed.select("key", F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     larger = F.greatest("na", "nb")
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
-    alike = (F.col("a") < F.col("b")) & (F.col("scheme") == F.col("scheme_b")) & (F.least("na", "nb") >= larger * threshold - 1e-9) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
+    alike = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= larger * threshold - 1e-9) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
     # the larger set of a pair decides whose keys count
-    alike = alike & ((F.col("scheme") == 0) | (F.col("scheme") == F.when(larger <= TRIPLES, 1).when(larger <= PAIRS, 2).otherwise(3)))
+    scheme = F.col("key").bitwiseAND(3)
+    alike = alike & ((scheme == 0) | (scheme == F.when(larger <= TRIPLES, 1).when(larger <= PAIRS, 2).otherwise(3)))
     candidates = x.join(y, "key").filter(alike).select("a", "b").distinct()
 
     bits = counted.filter("n > 0").groupBy("digest").agg(F.min("n").alias("n"), F.min("b0").alias("b0"), F.min("b1").alias("b1"), F.min("id").alias("r"))
