@@ -18,25 +18,34 @@ EDGE_DECAY = {"call": 0.7, "import": 0.5, "cochange": 0.3}
 HOP = 0.85
 
 
-def closure(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """id, depth: the nodes within so many hops along src -> dst, each with its least depth; seeds (id) have 0. Cycles and self-edges do no harm."""
+def closure(edges: DataFrame, seeds: DataFrame, depth: int | None = None, until: int | None = None) -> DataFrame:
+    """id, depth: the nodes within so many hops along src -> dst (any number, if none is given), each with its least depth; seeds (id) have 0. Cycles and
+    self-edges do no harm. It ends early once the node ``until`` is reached.
+
+    What was seen is written anew every few rounds, so a deep graph doesn't leave a table a round to be read again.
+    """
     edges = written(edges.select("src", "dst").distinct(), "edges")
     hubs = hot_keys(edges, "src")
     seen = seeds.select("id").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
-    for k in range(1, depth + 1):
+    frontier, k = seen, 0
+    while depth is None or k < depth:
+        k += 1
         reached = join_with_hot_keys(edges, frontier.select(F.col("id").alias("src")), "src", hot=hubs).select(F.col("dst").alias("id")).distinct()
         frontier = written(reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(k)), "frontier")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if k % 8 == 0:
+            seen = written(seen, "seen")
+        if until is not None and not frontier.filter(F.col("id") == until).isEmpty():
+            break
     return seen
 
 
-def path_length(edges: DataFrame, source: int, target: int, most: int = 20) -> DataFrame:
-    """source, target, hops: length of the shortest path; no row if there is none within ``most`` hops."""
+def path_length(edges: DataFrame, source: int, target: int, most: int | None = None) -> DataFrame:
+    """source, target, hops: length of the shortest path; no row if there is none (within ``most`` hops, if given)."""
     spark = edges.sparkSession
-    seen = closure(edges, spark.createDataFrame([(source,)], "id long"), most)
+    seen = closure(edges, spark.createDataFrame([(source,)], "id long"), most, until=target)
     return seen.filter(F.col("id") == target).select(F.lit(source).cast("long").alias("source"), F.lit(target).cast("long").alias("target"), F.col("depth").alias("hops"))
 
 
@@ -57,23 +66,26 @@ def page_rank(edges: DataFrame, nodes: DataFrame, rounds: int = ROUNDS) -> DataF
     return ranks
 
 
-def components(edges: DataFrame, most: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """id, component: strongly connected components of two nodes and more, named by their least id.
 
-    Nodes without edges in or out are trimmed first. Then colours (least id that reaches a node) and
-    backward walks inside a colour from its root split off components, round by round, until no edges are left.
+    Nodes without edges in or out are trimmed first. Then colours (the least hash of an id that reaches a node) and
+    backward walks inside a colour from its root split off components, round by round, until no edges are left. Hashes
+    stand in for a random order, by which a chain of components halves each round instead of losing one.
     """
     edges = written(edges.select("src", "dst").filter("src <> dst").distinct(), "edges")
     found = None
-    for _ in range(most):
-        while True:
-            before = edges.count()
+    while True:
+        n = edges.count()
+        while n:
             edges = written(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "trimmed")
-            if edges.count() == before:
+            before, n = n, edges.count()
+            if n == before:
                 break
-        if not before:
+        if not n:
             break
-        colour = edges.select(F.col("src").alias("id")).distinct().withColumn("colour", F.col("id"))
+        own = F.xxhash64("id")
+        colour = edges.select(F.col("src").alias("id")).distinct().withColumn("colour", own)
         while True:
             along = edges.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("c"))
             new = written(colour.join(along, "id", "left").select("id", F.least("colour", "c").alias("colour"), (F.col("c") < F.col("colour")).alias("moved")), "colours")
@@ -81,22 +93,25 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
             if new.filter("moved").isEmpty():
                 break
         inside = edges.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("colour").alias("b")), "dst").filter("a = b").select("src", "dst", F.col("a").alias("colour"))
-        member = written(colour.filter("id = colour"), "roots")
-        front = member
+        member = written(colour.filter(own == F.col("colour")), "roots")
+        front, k = member, 0
         while True:
             back = inside.join(front.select(F.col("id").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("id"), "colour").distinct()
             front = written(back.join(member, ["id", "colour"], "left_anti"), "back")
             if front.isEmpty():
                 break
-            member = member.unionByName(front)
-        part = written(member.select("id", F.col("colour").alias("component")), "component")
+            member, k = member.unionByName(front), k + 1
+            if k % 8 == 0:
+                member = written(member, "members")
+        part = written(member, "component")
         found = part if found is None else found.unionByName(part)
         gone = part.select("id")
         edges = written(edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"), "rest")
     if found is None:
         return edges.select(F.col("src").alias("id"), F.col("src").alias("component"))
-    big = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component")
-    return found.join(big, "component").select("id", "component")
+    # a colour may be used again in a later round, but never by two components: its root is gone
+    big = found.groupBy("colour").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("component")).filter("n > 1").select("colour", "component")
+    return found.join(big, "colour").select("id", "component")
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, depth: int = 5, floor: float = 0.1) -> DataFrame:
@@ -184,28 +199,31 @@ def newest_per(df: DataFrame, group: list[str], order: list[Column]) -> DataFram
     return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 
 
-def levels(edges: DataFrame, most: int = 50) -> DataFrame:
+def levels(edges: DataFrame) -> DataFrame:
     """id, level: length of the longest path to a node, for the nodes that no cycle reaches (a topological order). Rounds strip nodes whose sources are all placed."""
     e = written(edges.select("src", "dst").distinct(), "edges")
     left = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    done = None
-    for k in range(most):
+    done, k = None, 0
+    while True:
         ready = left.join(e.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
         ready = written(ready.select("id", F.lit(k).alias("level")), "level")
         if ready.isEmpty():
             break
-        done = ready if done is None else done.unionByName(ready)
+        done, k = ready if done is None else done.unionByName(ready), k + 1
         left = written(left.join(ready, "id", "left_anti"), "left")
         e = written(e.join(ready.select(F.col("id").alias("src")), "src", "left_anti").select("src", "dst"), "edges")
     return done if done is not None else left.select("id", F.lit(0).alias("level")).limit(0)
 
 
-def resolve_aliases(bindings: DataFrame, targets: DataFrame, most: int = 10) -> DataFrame:
-    """name, target, passes: names followed through re-exports (name -> via) until a name with a target; cycles end without one."""
+def resolve_aliases(bindings: DataFrame, targets: DataFrame, most: int | None = None) -> DataFrame:
+    """name, target, passes: names followed through re-exports (name -> via) until a name with a target, over so many passes (any number, if none is given); cycles end without one."""
     found = written(targets.select("name", "target").withColumn("passes", F.lit(0)), "resolved")
     open_ = bindings.select("name", "via").join(found, "name", "left_anti")
-    for k in range(1, most + 1):
-        step = written(open_.join(found.select(F.col("name").alias("via"), "target"), "via").groupBy("name").agg(F.min("target").alias("target")).withColumn("passes", F.lit(k)), "resolved")
+    step, k = found, 0
+    while most is None or k < most:
+        k += 1
+        # what an earlier pass found has led to its names already
+        step = written(open_.join(step.select(F.col("name").alias("via"), "target"), "via").groupBy("name").agg(F.min("target").alias("target")).withColumn("passes", F.lit(k)), "resolved")
         if step.isEmpty():
             break
         found = found.unionByName(step)

@@ -4,7 +4,8 @@ Sorted parent keys are compressed into runs of consecutive keys. A
 reference looks up the run that starts last before it (the as-of match); if its key lies
 beyond that run's end, it has no parent. Runs are cut where the parent's state
 changes and at the borders of key blocks of ``2 ** bits`` keys, so that the as-of match is
-an equality join on the block and a search in its few runs.
+an equality join on the block and a search in its few runs. Keys that are no numbers are numbered first, densely and in
+their order, over parents and references together, so that parents between which no orphan lies form a run.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import join_with_hot_keys
+from ..session import join_with_hot_keys, written
 
 
 def integer_key(text: Column) -> Column:
@@ -21,6 +22,16 @@ def integer_key(text: Column) -> Column:
     return F.when(digits != "", digits.try_cast("bigint"))
 
 
+def dense_numbers(ids: DataFrame, id_: str) -> DataFrame:
+    """id and key (long), one row for each id that isn't null: sorted ids have consecutive keys within each range of ids.
+
+    Ids are cut into ranges, each sorted by one task; a range starts a new stretch of keys, so no task needs the sizes of the others.
+    """
+    one = ids.select(F.col(id_)).filter(F.col(id_).isNotNull()).distinct()
+    ranges = one.repartitionByRange(id_).sortWithinPartitions(id_)
+    return written(ranges.withColumn("key", F.monotonically_increasing_id()), "numbers")
+
+
 def parent_runs(parents: DataFrame, bits: int) -> DataFrame:
     """block, runs: array of (first, last, name, gone, since), in order of first.
 
@@ -43,7 +54,7 @@ def parent_runs(parents: DataFrame, bits: int) -> DataFrame:
     return runs.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("first", "last", "name", "gone", "since"))).alias("runs"))
 
 
-def orphan_references(refs: DataFrame, parents: DataFrame, bits: int = 10) -> DataFrame:
+def orphan_references(refs: DataFrame, parents: DataFrame, bits: int = 8) -> DataFrame:
     """ref, reason ('missing', 'deleted' or 'late'): the references without a usable parent.
 
     refs: ref (its id), key (long or null), name, at (timestamp). A null key is missing. A

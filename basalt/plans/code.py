@@ -304,7 +304,7 @@ def g12(spark, d):
 )
 def g13(spark, d):
     f, i = V.files(spark, d).select("id", "cyclomatic"), V.imports(spark, d)
-    reach = G.closure(i, f.filter("cyclomatic % 25 = 0"), 200).select("id", F.lit(1).alias("reached"))
+    reach = G.closure(i, f.filter("cyclomatic % 25 = 0")).select("id", F.lit(1).alias("reached"))
     called = V.calls(spark, d).filter("confidence >= 0.7").select(F.col("dst").alias("id")).distinct().withColumn("called", F.lit(1))
     out = i.filter("kind = 're-export'").select(F.col("dst").alias("id")).distinct().withColumn("exported", F.lit(1))
     x = f.join(reach, "id", "left").join(called, "id", "left").join(out, "id", "left")

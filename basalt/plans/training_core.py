@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.history import history_of_edits, history_of_snapshots
-from ..operators.orphans import integer_key, orphan_references
+from ..operators.orphans import dense_numbers, integer_key, orphan_references
+from ..session import join_with_hot_keys
 from ..sources.tables import table
 
 _TIME = "yyyy-MM-dd HH:mm:ss"
@@ -75,15 +76,13 @@ def _bad_references(spark: SparkSession, d: str) -> DataFrame:
         links.select(F.col("id").alias("ref"), integer_key(F.col("memory_id")).alias("key"), none.alias("name"), F.col("last_verified").alias("at")),
         obs.select(F.col("id").alias("key"), none.alias("name"), F.col("deleted_at").isNotNull().alias("gone"), F.col("created_at").alias("since")),
     )
-    # symbol ids are no numbers: their hash is the key, the id itself tells equal hashes apart
+    # symbol ids are no numbers: they are numbered in their order
+    named = links.filter(F.col("symbol_id").isNotNull() & (F.col("symbol_id") != "__unlinked__")).select(F.col("id").alias("ref"), F.col("symbol_id").alias("symbol"), F.col("last_verified").alias("at"))
+    known = symbols.filter(F.col("stable_symbol_id").isNotNull()).select(F.col("stable_symbol_id").alias("symbol"), "indexed_at")
+    numbers = dense_numbers(named.select("symbol").unionByName(known.select("symbol")), "symbol")
     symbol = orphan_references(
-        links.filter(F.col("symbol_id").isNotNull() & (F.col("symbol_id") != "__unlinked__")).select(
-            F.col("id").alias("ref"), F.xxhash64("symbol_id").alias("key"), F.col("symbol_id").alias("name"), F.col("last_verified").alias("at")
-        ),
-        symbols.filter(F.col("stable_symbol_id").isNotNull()).select(
-            F.xxhash64("stable_symbol_id").alias("key"), F.col("stable_symbol_id").alias("name"), F.lit(False).alias("gone"), F.col("indexed_at").alias("since")
-        ),
-        bits=50,
+        join_with_hot_keys(named, numbers, "symbol").select("ref", "key", none.alias("name"), "at"),
+        join_with_hot_keys(known, numbers, "symbol").select("key", none.alias("name"), F.lit(False).alias("gone"), F.col("indexed_at").alias("since")),
     )
     tagged = lambda x, field: x.select(F.col("ref").alias("link_id"), F.lit(field).alias("ref_field"), "reason")
     return tagged(memory, "memory_id").unionByName(tagged(symbol, "symbol_id"))

@@ -80,3 +80,18 @@ def test_hot_keys_join(spark):
     assert hot_keys(left, "k") == [1]
     for how in ("inner", "left"):
         assert sorted(map(tuple, join_with_hot_keys(left, right, "k", how).collect()), key=str) == sorted(map(tuple, left.join(right, "k", how).collect()), key=str)
+
+
+def test_long_chains_are_followed_to_their_end(spark):
+    rings = [(3 * k + a, 3 * k + b) for k in range(24) for a, b in ((0, 1), (1, 2), (2, 0))] + [(3 * k + 2, 3 * k + 3) for k in range(23)]
+    assert {r.id: r.component for r in G.components(edges(spark, rings)).collect()} == {v: v // 3 * 3 for v in range(72)}
+
+
+def test_deep_walks_have_no_bound(spark):
+    chain = edges(spark, [(k, k + 1) for k in range(20)])
+    assert {r.id: r.depth for r in G.closure(chain, spark.createDataFrame([(0,)], "id long")).collect()} == {k: k for k in range(21)}
+    assert G.path_length(chain, 12, 16).first().hops == 4 and G.path_length(chain, 16, 12).count() == 0
+    assert {r.id: r.level for r in G.levels(chain.filter("src < 9")).collect()} == {k: k for k in range(10)}
+    names = spark.createDataFrame([(k, k + 1) for k in range(13)] + [(30, 31), (31, 30)], "name long, via long")
+    got = {r.name: r.passes for r in G.resolve_aliases(names, spark.createDataFrame([(13, 7)], "name long, target long")).collect()}
+    assert got == {13 - k: k for k in range(14)}

@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from basalt.operators.orphans import integer_key, orphan_references, parent_runs
+from basalt.operators.orphans import dense_numbers, integer_key, orphan_references, parent_runs
 
 T = [dt.datetime(2026, 1, d) for d in range(1, 29)]
 
@@ -50,3 +50,11 @@ def test_empty_tables(spark):
     refs = spark.createDataFrame([(1, 5, None, T[2])], "ref long, key long, name string, at timestamp_ntz")
     assert [tuple(x) for x in orphan_references(refs, p).collect()] == [(1, "missing")]
     assert orphan_references(refs.limit(0), p).count() == 0
+
+
+def test_ids_are_numbered_in_their_order(spark):
+    df = spark.createDataFrame([(f"{k:04x}",) for k in range(500)] * 2 + [(None,)], "id string")
+    got = sorted((r.id, r.key) for r in dense_numbers(df, "id").collect())
+    assert len(got) == 500 and [k for _, k in got] == sorted(k for _, k in got)
+    parents = dense_numbers(df, "id").filter("id <> '00ff'").select("key", F.lit(None).cast("string").alias("name"), F.lit(False).alias("gone"), F.lit(T[0]).cast("timestamp_ntz").alias("since"))
+    assert sum(len(r["runs"]) for r in parent_runs(parents, 40).collect()) <= 2 + spark.sparkContext.defaultParallelism * 4
