@@ -41,6 +41,8 @@ RARE, COMMON = 48, 224
 SMALL = 8
 #: Largest sets whose class 3 is indexed by triples, and by pairs; the tokens of classes 2 and 3 of larger sets are keys by themselves.
 TRIPLES, PAIRS = 96, 400
+#: Bits of a combination's hash that its key leaves out; keys that fall together cost a look at the filters, and short ones less room.
+KEY_DROPS = 20
 #: Records a partition of the index, and the most partitions.
 INDEX_RECORDS, INDEX_PARTITIONS = 12_000, 20_000
 #: Bits of the filter of involved records, as a power of two: 8 a record within these bounds, 64 MB at most. A full filter passes all records, which costs time only.
@@ -237,7 +239,7 @@ def _combined(head: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.
     h = np.full(len(grid), _U(k))
     for j in range(k):
         h = _mix(h + head[grid[:, j]] * _U(2 * j + 3))
-    return (h >> _U(4) << _U(2)).astype(np.int64), grid[:, 0]
+    return (h >> _U(KEY_DROPS) << _U(2)).astype(np.int64), grid[:, 0]
 
 
 def _schemes(n: int, t: float) -> list[tuple[int, int, int]]:
@@ -280,7 +282,7 @@ def _keys_of(tokens: np.ndarray, level: np.ndarray, t: float) -> list[tuple[int,
 
 
 def _sign(cols: list[str], size: int, t: float, sketch, bits: int):
-    """(key, digest, n, position) rows; a task emits each set once, as long as it remembers having met it."""
+    """(size and position, digest, key) rows; a task emits each set once, as long as it remembers having met it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(zstandard.ZstdDecompressor().decompress(sketch.value), np.uint8)
@@ -296,8 +298,8 @@ def _sign(cols: list[str], size: int, t: float, sketch, bits: int):
             rank = (doc << _U(48)) | (level.astype(np.uint64) << _U(40)) | (_mix(tokens) >> _U(24))
             by = np.argsort(rank)
             tokens, level = tokens[by], level[by].astype(np.int64)
-            keys: list[tuple[int, int]] = []
-            whose, sizes = [], []
+            keys: list[int] = []
+            whose, places = [], []
             for k in range(len(offsets) - 1):
                 a, b = offsets[k], offsets[k + 1]
                 d = int(digests[k])
@@ -307,12 +309,12 @@ def _sign(cols: list[str], size: int, t: float, sketch, bits: int):
                 if len(met) > 1_000_000:
                     met.popitem(last=False)
                 mine = _keys_of(tokens[a:b], level[a:b], t)
-                keys += mine
+                keys += [m[0] for m in mine]
                 whose += [d] * len(mine)
-                sizes += [b - a] * len(mine)
+                # size and position in one number; a position cut to 16 bits only weakens the filter
+                places += [(int(b - a) << 16) | max(0, min(m[1], 0xFFFF)) for m in mine]
             if keys:
-                key, pos = zip(*keys, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(whose, pa.int64()), pa.array(sizes, pa.int32()), pa.array(pos, pa.int32())], names=["key", "digest", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(whose, pa.int64()), pa.array(keys, pa.int64())], names=["place", "digest", "key"])
 
     return run
 
@@ -408,9 +410,9 @@ def similar_classes(records: DataFrame, cols: list[str], threshold: float = 0.8,
     members = counted.filter("n > 0").select("id", "digest")
 
     partitions = min(max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // INDEX_RECORDS), INDEX_PARTITIONS)
-    signed = rows.mapInArrow(_sign(names, size, threshold, sketch, bits), "key long, digest long, n int, pos int").repartition(partitions, "key")
-    x = signed.select("key", F.col("digest").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    y = signed.select("key", F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    signed = rows.mapInArrow(_sign(names, size, threshold, sketch, bits), "place long, digest long, key long").repartition(partitions, "key")
+    x = signed.select("key", F.col("digest").alias("a"), F.shiftright("place", 16).alias("na"), F.col("place").bitwiseAND(0xFFFF).alias("pa"))
+    y = signed.select("key", F.col("digest").alias("b"), F.shiftright("place", 16).alias("nb"), F.col("place").bitwiseAND(0xFFFF).alias("pb"))
     larger = F.greatest("na", "nb")
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
     alike = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= larger * threshold - 1e-9) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
