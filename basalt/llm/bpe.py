@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .vocab import BYTE_PATTERN, byte_ranks, tokenizer_dir
 
-#: Words that a worker remembers; beyond it the memory starts anew.
-CACHE_WORDS = 400_000
+#: Words that a worker remembers, and the longest of them; beyond that number the memory starts anew.
+CACHE_WORDS, CACHE_CHARS = 400_000, 200
 
 
 class ByteBPE:
@@ -161,15 +161,13 @@ class ByteBPE:
 
         Words never reach over such a place, and chunks repeat more than a pattern search costs.
         """
-        parts = text.split(" ")
-        out = [parts[0]]
-        for p in parts[1:]:
-            before = out[-1]
-            if before and not before[-1].isspace():
-                out.append(" " + p)
-            else:
-                out[-1] = before + " " + p
-        return out
+        out, now = [], []
+        for p in text.split(" "):
+            if now and now[-1] and not now[-1][-1].isspace():
+                out.append(" ".join(now))
+                now = [""]
+            now.append(p)
+        return [*out, " ".join(now)]
 
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """offsets and ids of all texts; a null or empty text has none."""
@@ -188,6 +186,12 @@ class ByteBPE:
             for c, ws in split.items():
                 chunks[c] = np.asarray([i for w in ws for i in known[w]], np.int32).tobytes()
         ids = [b"".join([chunks[c] for c in cs]) for cs in cut]
+        for c in new:
+            if len(c) > CACHE_CHARS:  # text without a break is no word that repeats
+                for w in split[c]:
+                    if len(w) > CACHE_CHARS:
+                        self.known.pop(w, None)
+                del chunks[c]
         offsets = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
         return offsets, np.frombuffer(b"".join(ids), np.int32)

@@ -48,3 +48,13 @@ def test_encode_table(spark):
     assert got == {1: [31373, 995], 2: [], 3: []}
     assert [r.n_tokens for r in bpe.encode(df, "text", ["doc_id"], PATH, as_count=True).orderBy("doc_id").collect()] == [2, 0, 0, 0]
     assert bpe.encode(df.limit(0), "text", ["doc_id"], PATH).count() == 0
+
+
+def test_chunks_of_long_runs_of_blanks():
+    import time
+
+    text = "a" + " " * 2_000_000 + "b  c\n d"
+    began = time.time()
+    cut = bpe.ByteBPE.chunks(text)
+    assert "".join(cut) == text and time.time() - began < 5
+    assert bpe.ByteBPE.chunks("ab  c\n d e") == ["ab", "  c\n d", " e"] and bpe.ByteBPE.chunks(" ") == [" "] and bpe.ByteBPE.chunks("") == [""]
