@@ -54,3 +54,25 @@ def test_empty(spark):
     assert X.mix(df.limit(0), targets).count() == 0
     assert X.mix(df, targets.limit(0)).count() == 0
     assert X.shares(X.mix(df.limit(0), targets), targets).first().actual_share == 0
+
+
+def test_ranges_of_the_key_are_narrow_for_any_weight(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit(10).cast("long").alias("n_tokens"), F.element_at(F.array(*map(F.lit, (0.05, 0.1, 1.0))), (F.col("id") % 3 + 1).cast("int")).alias("weight"))
+    key = -F.log((F.shiftrightunsigned(F.xxhash64(F.lit("m"), "doc_id", F.lit(1)), 11).cast("double") + 0.5) / float(1 << 53)) / F.col("weight")
+    most = df.groupBy(F.floor(F.log2(key) * X.BINS)).count().agg(F.max("count")).first()[0]
+    assert most < 60  # 0.1 % of the rows
+    rows = X.mix(df, spark.createDataFrame([("m", "s", 1.0, 1)], TARGETS), total_tokens=200_000.0).collect()
+    assert len(rows) == 20_000 and sum(r.doc_id % 3 == 2 for r in rows) > 15_000
+
+
+def test_quality_tells_poor_text_in_any_script(spark):
+    from pyspark.sql import functions as F
+
+    good = ["The cache reads every table once. " * 1 + f"Step {k} is done by the reader and checked by hand, then it is stored where others find it, with its date and owner, and with a note on why it was done at all." for k in range(1)]
+    good += ["def f(x):\n    return x + 1\n\n\ndef g(y):\n    return f(y) * 2\n" + "\n".join(f"    value_{k} = {k}" for k in range(20)), "".join(chr(0x4E00 + k) for k in range(250))]
+    poor = ["same line\n" * 40, "x" * 400, "ab�" * 100, "short", "", None]
+    df = spark.createDataFrame([(t,) for t in good + poor], "text string").select(X.quality_weight(F.col("text")).alias("w"))
+    w = [r.w for r in df.collect()]
+    assert min(w[: len(good)]) > 0.9 and max(w[len(good) :]) < 0.6 and min(w) == 0.05
