@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import join_with_hot_keys, written
+from ..session import hot_keys, join_with_hot_keys, written
 
 #: Names of labelled fields (fixed values of the data).
 LABELS = frozenset("what why where learned next impact task file symbol ticket limit".split())
@@ -267,11 +267,13 @@ def _grouped(keys: DataFrame, whole: list[str], field: list[str]) -> tuple[DataF
             break
     labels = now.select(*whole, "label").distinct()
     texts = edges.groupBy(*whole).agg(F.min("low").alias("holder")).join(labels, whole, "left").withColumn("label", F.coalesce("label", "holder"))
-    members = join_with_hot_keys(keys.select(*whole, "id").distinct(), texts, whole[1], also=[c for c in whole if c != whole[1]])
+    hot = hot_keys(keys, whole[1])
+    members = written(join_with_hot_keys(keys.select(*whole, "id").distinct(), texts, whole[1], hot=hot, also=[c for c in whole if c != whole[1]]).select("part", "id", "holder", "label"), "members")
     groups = members.groupBy("part", "label").agg(F.min("id").alias("first_id"), F.max("id").alias("last")).filter("first_id < last").drop("last")
     copies = written(join_with_hot_keys(members, groups, "label", also=["part"]).select("part", "id", "holder", "first_id"), "copies")
     pairs = copies.filter("id <> holder").select("part", "id", F.col("holder").alias("other"))
-    return copies.select("part", "id", "first_id"), pairs.unionByName(links.filter("low <> other").select("part", F.col("low").alias("id"), "other")).distinct()
+    pairs = pairs.unionByName(links.filter("low <> other").select("part", F.col("low").alias("id"), "other")).distinct()
+    return copies.select("part", "id", "first_id"), written(pairs, "pairs")
 
 
 def format_copies(records: DataFrame, texts: list[str]) -> DataFrame:
