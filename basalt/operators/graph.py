@@ -234,3 +234,50 @@ def resolve_aliases(bindings: DataFrame, targets: DataFrame, most: int | None =
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """old with the rows of new in place of those of the same key; both have one row a key."""
     return old.join(new.select(key), key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+
+
+def class_relations(classes: DataFrame) -> DataFrame:
+    """source, target, kind ('extends' or 'implements') of class signatures. classes: id, repo, name, kind, signature.
+
+    A base is met with the first class, interface or type of its name in the repository; names that aren't there give no edge.
+    """
+    targets = classes.filter(F.col("kind").isin("class", "interface", "type")).groupBy("repo", F.col("name").alias("base")).agg(F.min("id").alias("target"))
+    c = classes.filter("kind = 'class' AND signature IS NOT NULL")
+    base = c.select("id", "repo", F.regexp_extract("signature", r"extends\s+(\w+)", 1).alias("base"), F.lit("extends").alias("edge"))
+    faces = F.split(F.regexp_extract("signature", r"implements\s+([\w,\s]+?)(?:\s*\{|$)", 1), ",")
+    face = c.select("id", "repo", F.explode(faces).alias("base"), F.lit("implements").alias("edge")).withColumn("base", F.trim("base"))
+    return base.unionByName(face).join(targets, ["repo", "base"]).select(F.col("id").alias("source"), "target", F.col("edge").alias("kind")).distinct()
+
+
+def is_dependency(kind: Column) -> Column:
+    """Edges of all kinds but containment carry a dependency."""
+    return kind != "Contains"
+
+
+def impact_classes(affected: DataFrame) -> DataFrame:
+    """affected (change, edge, confidence) with score, class and level: the first rule that fits."""
+    c, e = F.col("change"), F.col("edge")
+    rules = [
+        (c == "Deleted", 1.0, "Breaking"),
+        ((c == "SignatureChanged") & e.isin("Imports", "PackageDep"), 0.9, "Breaking"),
+        ((c == "BodyOnly") & (e == "PackageDep"), 0.7, "NeedsUpdate"),
+        ((c == "BodyOnly") & (e == "Calls"), 0.6, "NeedsUpdate"),
+        (c.isin("Moved", "Renamed"), 0.4, "Investigate"),
+        (F.col("confidence") < 0.65, 0.5, "Investigate"),
+        (F.lit(True), 0.1, "Safe"),
+    ]
+    hit = F.coalesce(*(F.when(test, F.struct(F.lit(score).alias("score"), F.lit(name).alias("class"))) for test, score, name in rules))
+    out = affected.withColumn("__h", hit).withColumn("score", F.col("__h.score")).withColumn("class", F.col("__h.class")).drop("__h")
+    return out.withColumn("level", level(F.col("score"), {"Critical": 0.85, "High": 0.6, "Medium": 0.3}, "Low"))
+
+
+def suggested_edges(answers: DataFrame, body: str, least: float = 0.95) -> DataFrame:
+    """id, source, target, edge_type, reasoning, confidence, accepted: the edges of JSON answers {"edges": [...]}, from consumer to exporter.
+
+    An edge without both ends is left out; an unknown type is a contract of an interface; a missing confidence is 0.5. A body that is no such object has none.
+    """
+    kind = "edges array<struct<entity_a: string, entity_b: string, edge_type: string, reasoning: string, confidence: double>>"
+    e = answers.select("id", F.explode(F.from_json(body, kind)["edges"]).alias("e")).select("id", "e.*").filter("entity_a IS NOT NULL AND entity_b IS NOT NULL")
+    type_ = F.when(F.col("edge_type").isin("SharedType", "DataFlow", "EventContract"), F.col("edge_type")).otherwise("APIContract")
+    sure = F.coalesce("confidence", F.lit(0.5))
+    return e.select("id", F.col("entity_b").alias("source"), F.col("entity_a").alias("target"), type_.alias("edge_type"), F.coalesce("reasoning", F.lit("")).alias("reasoning"), sure.alias("confidence"), (sure >= least).alias("accepted"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -198,3 +199,46 @@ def pack_budget(ranked: DataFrame, group: str, budget: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[group, "pos", "id", "mode", "tokens"])
 
     return ranked.select(group, "pos", "id", "title", "content").repartition(group).sortWithinPartitions(group, "pos").mapInArrow(run, schema)
+
+
+# Words that no needle of a topic is made of, and how much a compaction keeps.
+TOPIC_STOP_WORDS = frozenset(
+    "the and for with that this from what where when why how did does into instead keep answer concise you your are was were can could should would will "
+    "have has had not but all any our its they them then than there here which who about also just please need want some more very been these those only each other".split()
+)
+SUMMARIES_KEPT, PROMPTS_KEPT, SESSIONS_KEPT, PURGE_DAYS, DECAY_DAYS, DECAY = 1, 10, 10, 30, 90, 0.05
+
+
+def topic_needles(query: str | None, most: int = 64) -> list[str]:
+    """What a topic's memories are searched for: the query itself, if it isn't long, and its words but stop words, each once; never empty unless the query is."""
+    plain = (query or "").lower().strip()
+    if not plain:
+        return []
+    words = [w.strip("./-") for w in re.findall(r"[a-z0-9_./-]+", plain)]
+    terms = list(dict.fromkeys(w for w in words if len(w) >= 3 and w not in TOPIC_STOP_WORDS))[:most]
+    return list(dict.fromkeys([plain] * (len(plain) <= 120) + terms)) or [plain[:120]]
+
+
+def compacted(observations: DataFrame, prompts: DataFrame, sessions: DataFrame, links: DataFrame) -> dict[str, DataFrame]:
+    """observations, user_prompts, sessions and links that a compaction keeps, by name; each step sees what those before it left.
+
+    Expired memories go; links to no live memory; memories deleted 30 days ago; all but the newest session summary of a project, its 10
+    newest prompts and its 10 newest sessions, of which open ones stay; prompts of sessions that went. Trust in memories unchanged for
+    90 days falls by 0.05. "Now" is the newest created_at. links: id, memory_id (long), trust_score. A null project is a project.
+    """
+    now = F.broadcast(observations.agg(F.max("created_at").alias("__now")))
+    gone = lambda test: ~F.coalesce(test, F.lit(False))
+    o = observations.join(now).filter(gone(F.col("expires_at") < F.col("__now")))
+    live = o.filter("deleted_at IS NULL").select(F.col("id").alias("memory_id"))
+    kept_links = links.join(live, "memory_id", "left_semi")
+    o = o.filter(gone(F.col("deleted_at") < F.col("__now") - F.make_dt_interval(F.lit(PURGE_DAYS))))
+    summary = F.coalesce((F.col("type") == "session_summary") & F.col("deleted_at").isNull(), F.lit(False))
+    o = o.filter(~summary).unionByName(keep_newest(o.filter(summary), "project", "created_at", SUMMARIES_KEPT))
+    p = keep_newest(prompts, "project", "created_at", PROMPTS_KEPT)
+    newest = keep_newest(sessions, "project", "started_at", SESSIONS_KEPT).select("id", F.lit(True).alias("__new"))
+    s = sessions.join(newest, "id", "left").filter(F.col("ended_at").isNull() | F.col("__new")).drop("__new")
+    p = p.filter("session_id IS NULL").unionByName(p.join(s.select(F.col("id").alias("session_id")), "session_id", "left_semi").select(*p.columns))
+    old = o.filter(F.col("updated_at") < F.col("__now") - F.make_dt_interval(F.lit(DECAY_DAYS))).select(F.col("id").alias("memory_id"), F.lit(True).alias("__old"))
+    fallen = F.when(F.col("__old") & (F.col("trust_score") > 0), F.round(F.greatest(F.lit(0.0), F.col("trust_score") - DECAY), 6)).otherwise(F.col("trust_score"))
+    aged = kept_links.join(old, "memory_id", "left").withColumn("trust_score", fallen).select(*links.columns)
+    return {"observations": o.drop("__now"), "user_prompts": p, "sessions": s, "links": aged}

@@ -101,15 +101,15 @@ def j11(spark, d):
 
 @_add(
     "j14_runtime_match",
-    """WITH h AS (SELECT id AS run, command FROM token_saver_runs WHERE id <= 400), k AS (SELECT id, file_path || ':' || name AS key, file_path || ':' || qualified_name AS full_key FROM code_symbols),
-       r AS (SELECT id AS hit, CASE WHEN id % 3 = 0 THEN file_path || ':' || qualified_name ELSE file_path || ':' || name END AS key FROM code_symbols WHERE id % 2 = 0)
+    """WITH k AS (SELECT id, file_path || ':' || name AS key, file_path || ':' || qualified_name AS full_key FROM code_symbols),
+       r AS (SELECT id AS hit, CASE WHEN id % 3 = 0 THEN file_path || ':' || qualified_name ELSE file_path || ':' || name END AS key FROM code_symbols)
        SELECT hit, coalesce((SELECT min(id) FROM k WHERE k.key = r.key), (SELECT min(id) FROM k WHERE k.full_key = r.key)) AS symbol FROM r""",
 )
 def j14(spark, d):
     s = table(spark, d, "code_symbols")
     by = lambda c: s.groupBy(F.concat_ws(":", "file_path", c).alias("key")).agg(F.min("id").alias(c))
     key = F.when(F.col("id") % 3 == 0, F.concat_ws(":", "file_path", "qualified_name")).otherwise(F.concat_ws(":", "file_path", "name"))
-    hits = s.filter("id % 2 = 0").select(F.col("id").alias("hit"), key.alias("key"))
+    hits = s.select(F.col("id").alias("hit"), key.alias("key"))
     return hits.join(by("name"), "key", "left").join(by("qualified_name"), "key", "left").select("hit", F.coalesce("name", "qualified_name").alias("symbol"))
 
 
@@ -477,9 +477,13 @@ def g29(spark, d):
     return x.select("id", kind.when((F.col("o.body") == F.col("n.body")) & (F.col("o.place") == F.col("n.place")), "unchanged").when(F.col("o.place") != F.col("n.place"), "moved").otherwise("body").alias("change"))
 
 
-@_add("g31_stale_edges", "SELECT c.src, c.dst FROM calls c WHERE c.src NOT IN (SELECT id FROM files WHERE id % 9 <> 0) OR c.dst NOT IN (SELECT id FROM files WHERE id % 9 <> 0)", "calls", "files")
+#: Files that were touched within a year of the newest commit.
+_LIVE = "SELECT file_id FROM commits, (SELECT max(committed_at) AS t FROM commits) n WHERE committed_at >= t - INTERVAL 365 DAY"
+
+
+@_add("g31_stale_edges", f"WITH a AS ({_LIVE}) SELECT c.src, c.dst FROM calls c WHERE c.src NOT IN (SELECT file_id FROM a) OR c.dst NOT IN (SELECT file_id FROM a)", "calls", "commits")
 def g31(spark, d):
-    alive = V.files(spark, d).filter("id % 9 <> 0").select("id", F.lit(True).alias("alive"))
+    alive = G.churn(V.commits(spark, d), 365).select(F.col("file_id").alias("id"), F.lit(True).alias("alive"))
     c = V.calls(spark, d).join(alive.select(F.col("id").alias("src"), F.col("alive").alias("a")), "src", "left").join(alive.select(F.col("id").alias("dst"), F.col("alive").alias("b")), "dst", "left")
     return c.filter("a IS NULL OR b IS NULL").select("src", "dst")
 

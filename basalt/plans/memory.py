@@ -444,15 +444,20 @@ def m18(spark, d):
     return x.select("session_id", "type", "memories", F.array_join(F.transform("t", lambda r: r["title"]), "; ").alias("digest"))
 
 
-_CHANGED_PATHS = "SELECT DISTINCT file_path AS path FROM code_symbols WHERE id % 7 = 0"
+#: Paths of symbols that were indexed anew.
+_CHANGED_PATHS = "SELECT DISTINCT file_path AS path FROM code_symbols WHERE stable_symbol_id IN (SELECT stable_symbol_id FROM code_symbols GROUP BY 1 HAVING count(*) > 1)"
 _CHANGED_SYMBOLS = "SELECT DISTINCT stable_symbol_id AS symbol_id FROM code_symbols WHERE file_path IN (SELECT path FROM cp)"
 
 
+def _changed_paths(symbols):
+    again = symbols.groupBy("stable_symbol_id").count().filter("count > 1")
+    return symbols.join(again, "stable_symbol_id", "left_semi").select("file_path").distinct()
+
+
 @_add("t2_changed_symbols", f"WITH cp AS ({_CHANGED_PATHS}) {_CHANGED_SYMBOLS}")
 def t2(spark, d):
     s = table(spark, d, "code_symbols")
-    paths = s.filter("id % 7 = 0").select("file_path").distinct()
-    return s.join(paths, "file_path", "left_semi").select(F.col("stable_symbol_id").alias("symbol_id")).distinct()
+    return s.join(_changed_paths(s), "file_path", "left_semi").select(F.col("stable_symbol_id").alias("symbol_id")).distinct()
 
 
 @_add(
@@ -464,8 +469,7 @@ def t2(spark, d):
     "links",
 )
 def t1(spark, d):
-    s = table(spark, d, "code_symbols")
-    return M.evaluate_trust(V.links(spark, d), s.filter("id % 7 = 0").select(F.col("file_path").alias("path")), t2(spark, d))
+    return M.evaluate_trust(V.links(spark, d), _changed_paths(table(spark, d, "code_symbols")).withColumnRenamed("file_path", "path"), t2(spark, d))
 
 
 @_add(
@@ -483,12 +487,12 @@ def t3(spark, d):
 
 @_add(
     "t5_trust_recovery",
-    "SELECT l.id, round(least(1, trust_score + .1), 4) AS trust_score FROM links l WHERE memory_id IN (SELECT memory_id FROM recalls WHERE was_useful = 1 AND session_id < 20)",
+    "SELECT l.id, round(least(1, trust_score + .1), 4) AS trust_score FROM links l WHERE memory_id IN (SELECT memory_id FROM recalls WHERE was_useful = 1)",
     "links",
     "recalls",
 )
 def t5(spark, d):
-    r = V.recalls(spark, d).filter("was_useful = 1 AND session_id < 20").select("memory_id").distinct()
+    r = V.recalls(spark, d).filter("was_useful = 1").select("memory_id").distinct()
     return V.links(spark, d).join(r, "memory_id", "left_semi").select("id", F.round(F.least(F.lit(1.0), F.col("trust_score") + 0.1), 4).alias("trust_score"))
 
 

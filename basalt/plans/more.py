@@ -126,16 +126,6 @@ def a25(spark, d):
     return x.select("name", F.round((F.when(F.col("path").isNotNull(), 1).otherwise(0) + F.when(fresh, 1).otherwise(0) + F.coalesce("q", F.lit(0.0))) / 3, 2).alias("health"))
 
 
-@_add(
-    "a28_precision",
-    "SELECT session_id % 10 AS source, round(avg(was_useful), 6) AS precision, CASE WHEN avg(was_useful) < .5 THEN .98 ELSE .95 END::DOUBLE AS threshold FROM recalls WHERE was_useful IS NOT NULL GROUP BY 1",
-    "recalls",
-)
-def a28(spark, d):
-    g = V.recalls(spark, d).filter("was_useful IS NOT NULL").groupBy((F.col("session_id") % 10).alias("source")).agg(F.avg("was_useful").alias("p"))
-    return g.select("source", F.round("p", 6).alias("precision"), F.when(F.col("p") < 0.5, 0.98).otherwise(0.95).alias("threshold"))
-
-
 @_add("a29_cost_fold", "SELECT user_id % 10 AS mission, count(*) AS calls, round(sum(value), 4) AS cost, sum(event_id % 1000 + event_id % 377)::BIGINT AS tokens FROM events GROUP BY 1")
 def a29(spark, d):
     return table(spark, d, "events").groupBy((F.col("user_id") % 10).alias("mission")).agg(_n("calls"), F.round(F.sum("value"), 4).alias("cost"), F.sum(F.expr("event_id % 1000 + event_id % 377")).alias("tokens"))
@@ -210,11 +200,6 @@ def g8(spark, d):
     return G.levels(V.imports(spark, d).filter("src < dst"))
 
 
-@_add("g20_typed_signatures", r"SELECT id, regexp_extract(signature, '\(([A-Za-z_]+)', 1) AS first_argument FROM code_symbols WHERE regexp_matches(signature, '\([A-Za-z_]+')")
-def g20(spark, d):
-    return table(spark, d, "code_symbols").filter(F.col("signature").rlike(r"\([A-Za-z_]+")).select("id", F.regexp_extract("signature", r"\(([A-Za-z_]+)", 1).alias("first_argument"))
-
-
 @_add("g22_reference_edges", "SELECT DISTINCT s.file_path AS dst_path, l.symbol_path AS src_path FROM symbol_links l JOIN code_symbols s ON s.stable_symbol_id = l.symbol_id WHERE l.symbol_path <> s.file_path AND s.kind <> 'function'")
 def g22(spark, d):
     s = table(spark, d, "code_symbols").filter("kind <> 'function'").select(F.col("stable_symbol_id").alias("symbol_id"), F.col("file_path").alias("dst_path")).distinct()
@@ -223,7 +208,7 @@ def g22(spark, d):
 
 @_add(
     "g24_resolved_exports",
-    """WITH b AS (SELECT DISTINCT src AS name, dst AS via FROM imports WHERE kind = 're-export'), t0 AS (SELECT id AS name, id AS target FROM files WHERE id % 3 = 0),
+    """WITH b AS (SELECT DISTINCT src AS name, dst AS via FROM imports WHERE kind = 're-export'), t0 AS (SELECT id AS name, id AS target FROM files WHERE cyclomatic >= 30),
        s1 AS (SELECT b.name, min(t.target) AS target FROM b JOIN t0 t ON t.name = b.via WHERE b.name NOT IN (SELECT name FROM t0) GROUP BY 1), t1 AS (SELECT * FROM t0 UNION ALL SELECT * FROM s1),
        s2 AS (SELECT b.name, min(t.target) AS target FROM b JOIN t1 t ON t.name = b.via WHERE b.name NOT IN (SELECT name FROM t1) GROUP BY 1), t2 AS (SELECT * FROM t1 UNION ALL SELECT * FROM s2),
        s3 AS (SELECT b.name, min(t.target) AS target FROM b JOIN t2 t ON t.name = b.via WHERE b.name NOT IN (SELECT name FROM t2) GROUP BY 1)
@@ -233,21 +218,16 @@ def g22(spark, d):
 )
 def g24(spark, d):
     b = V.imports(spark, d).filter("kind = 're-export'").select(F.col("src").alias("name"), F.col("dst").alias("via")).distinct()
-    return G.resolve_aliases(b, V.files(spark, d).filter("id % 3 = 0").select(F.col("id").alias("name"), F.col("id").alias("target")), 3)
+    return G.resolve_aliases(b, V.files(spark, d).filter("cyclomatic >= 30").select(F.col("id").alias("name"), F.col("id").alias("target")), 3)
 
 
-@_add("g26_affected", "WITH c AS (SELECT id FROM files WHERE id % 97 = 0) SELECT id FROM c UNION SELECT src FROM imports WHERE dst IN (SELECT id FROM c) UNION SELECT src FROM calls WHERE dst IN (SELECT id FROM c)", "imports", "calls", "files")
+@_add("g26_affected", "WITH c AS (SELECT DISTINCT file_id AS id FROM commits, (SELECT max(committed_at) AS t FROM commits) n WHERE committed_at >= t - INTERVAL 7 DAY) SELECT id FROM c UNION SELECT src FROM imports WHERE dst IN (SELECT id FROM c) UNION SELECT src FROM calls WHERE dst IN (SELECT id FROM c)", "imports", "calls", "commits")
 def g26(spark, d):
-    c = V.files(spark, d).filter("id % 97 = 0").select("id")
+    c = G.churn(V.commits(spark, d), 7).select(F.col("file_id").alias("id"))  # what the newest week changed
     near = lambda e: e.join(c.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id"))
     return c.union(near(V.imports(spark, d))).union(near(V.calls(spark, d))).distinct()
 
 
-@_add("g30_impact_levels", "SELECT src, dst, CASE WHEN confidence >= .85 THEN 'critical' WHEN confidence >= .6 THEN 'high' WHEN confidence >= .3 THEN 'medium' ELSE 'low' END AS impact FROM calls", "calls")
-def g30(spark, d):
-    return V.calls(spark, d).select("src", "dst", G.level(F.col("confidence"), {"critical": 0.85, "high": 0.6, "medium": 0.3}, "low").alias("impact"))
-
-
 _CAMEL = r"list_filter(string_split(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')"
 
 

@@ -134,22 +134,6 @@ def c5(spark, d):
     return table(spark, d, "observations").groupBy(T.first_rule(F.lower("title"), T.COMMITS, "other").alias("class")).agg(F.count(F.lit(1)).alias("memories"))
 
 
-_BRANCHES = r"\bif\b|\bfor\b|\bwhile\b|\bcase\b|\bcatch\b|&&|\|\|"
-
-
-@_add("c1_branches", rf"SELECT doc_id, 1 + len(regexp_extract_all(text, '{_BRANCHES}')) AS complexity, CASE WHEN 1 + len(regexp_extract_all(text, '{_BRANCHES}')) <= 4 THEN 'low' WHEN 1 + len(regexp_extract_all(text, '{_BRANCHES}')) <= 10 THEN 'medium' ELSE 'high' END AS level FROM documents WHERE doc_kind = 'diff' AND text IS NOT NULL")
-def c1(spark, d):
-    n = 1 + F.regexp_count("text", F.lit(_BRANCHES))
-    return table(spark, d, "documents").filter("doc_kind = 'diff' AND text IS NOT NULL").select("doc_id", n.alias("complexity"), F.when(n <= 4, "low").when(n <= 10, "medium").otherwise("high").alias("level"))
-
-
-@_add("c4_patterns", f"WITH {_LINES} SELECT 'await' AS rule, doc_id, line_no FROM l WHERE regexp_matches(line, 'await [a-zA-Z_]+\\(') UNION ALL SELECT 'select', doc_id, line_no FROM l WHERE regexp_matches(line, '^SELECT ')")
-def c4(spark, d):
-    l = T.lines(table(spark, d, "documents"), "doc_id", "text")
-    rule = F.when(F.col("line").rlike(r"await [a-zA-Z_]+\("), "await").when(F.col("line").rlike("^SELECT "), "select")
-    return l.select(rule.alias("rule"), "doc_id", "line_no").filter("rule IS NOT NULL")
-
-
 _STALE = "(?i)deprecated|legacy|temporary"
 
 
@@ -180,12 +164,6 @@ def x2(spark, d):
     return table(spark, d, "observations").filter((F.length("content") >= 150) & F.lower(half).rlike(r"\bchose\b|\binstead\b|\brather than\b")).select("id")
 
 
-@_add("x3_content_kinds", "SELECT id, CASE WHEN contains(content, '@') THEN 'mail' WHEN length(content) > 800 THEN 'long' WHEN len(string_split(content, chr(10) || chr(10))) > 2 THEN 'paragraphs' ELSE 'short' END AS kind FROM observations WHERE content IS NOT NULL")
-def x3(spark, d):
-    k = F.when(F.contains("content", F.lit("@")), "mail").when(F.length("content") > 800, "long").when(F.size(F.split("content", "\n\n")) > 2, "paragraphs").otherwise("short")
-    return table(spark, d, "observations").filter("content IS NOT NULL").select("id", k.alias("kind"))
-
-
 @_add("x4_snippets", r"WITH l AS (SELECT id, list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '^\*\*(What|Why|Where)\*\*:')) AS l FROM observations) SELECT id, substr(array_to_string(list_transform(l[1:3], lambda x: regexp_replace(x, '^\*\*[A-Za-z]+\*\*: *', '')), ' '), 1, 180) AS snippet FROM l WHERE len(l) > 0")
 def x4(spark, d):
     kept = F.filter(F.split("content", "\n"), lambda x: x.rlike(r"^\*\*(What|Why|Where)\*\*:"))
