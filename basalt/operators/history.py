@@ -1,11 +1,13 @@
 """History of changing attributes, kept by comparing Merkle trees of snapshots.
 
-A snapshot's rows are hashed into ``fanout ** depth`` leaf buckets by key. The digest of
+A snapshot's rows are hashed into ``fanout ** depth`` leaf buckets by key. The depth follows the number of keys, so that a
+leaf holds few keys whatever the size, and few changes leave most leaves alone. The digest of
 a bucket is the sum of its rows' hashes, so it needs no order and combines before
 the shuffle; a branch's digest is the sum of its children's. Two snapshots are
 compared from the root: only children of branches that differ are looked at, and
-only rows of leaf buckets that differ are read for the diff. The number of
-buckets doesn't depend on the data, which bounds what is broadcast.
+only rows of leaf buckets that differ are read for the diff. A leaf's number in a shallow tree is that in a deep one
+modulo the number of leaves, so trees of different depths are compared at the lesser. History and tree are kept
+in a folder between runs.
 """
 
 from __future__ import annotations
@@ -16,6 +18,10 @@ from pyspark.sql import functions as F
 from ..session import written
 
 FANOUT, DEPTH = 16, 4
+#: Keys a leaf holds on average at most, up to a tree of the greatest depth.
+LEAF_KEYS, DEEPEST = 64, 7
+#: Trees of so many leaves lie in one partition, so comparing them shuffles nothing.
+SMALL_TREE = 65_536
 _M = (1 << 31) - 1
 
 
@@ -24,6 +30,15 @@ def leaf_of(keys: list[str], fanout: int = FANOUT, depth: int = DEPTH) -> Column
     return F.pmod(F.xxhash64(*(F.coalesce(F.col(k).cast("string"), F.lit("\0null")) for k in keys)), F.lit(fanout**depth)).cast("int")
 
 
+def tree_depth(rows: DataFrame, keys: list[str], fanout: int = FANOUT) -> int:
+    """Depth of the tree for so many keys (counted within a few per cent)."""
+    n = rows.agg(F.approx_count_distinct(F.xxhash64(*(F.col(k).cast("string") for k in keys)))).first()[0]
+    depth = 2
+    while depth < DEEPEST and fanout**depth * LEAF_KEYS < n:
+        depth += 1
+    return depth
+
+
 def _row_digest(cols: list[str]) -> list[Column]:
     """Two independent 31-bit hashes of a row, nulls told from empty strings; their sums fit a long."""
     parts = [x for c in cols for x in (F.col(c).isNull(), F.col(c).cast("string"))]
@@ -31,26 +46,34 @@ def _row_digest(cols: list[str]) -> list[Column]:
 
 
 def merkle_leaves(df: DataFrame, keys: list[str], cols: list[str], fanout: int = FANOUT, depth: int = DEPTH) -> DataFrame:
-    """leaf, n, d1, d2: the digests of the leaf buckets, written. At most fanout ** depth rows."""
+    """leaf, n, d1, d2: the digests of the leaf buckets, written. At most fanout ** depth rows, and at most a row a key."""
     a, b = _row_digest([*keys, *cols])
     leaves = (
         df.select(leaf_of(keys, fanout, depth).alias("leaf"), a.alias("a"), b.alias("b"))
         .groupBy("leaf")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("d1"), F.sum("b").alias("d2"))
     )
-    return written(leaves, "leaves").coalesce(1)
+    leaves = written(leaves, "leaves")
+    return leaves.coalesce(1) if fanout**depth <= SMALL_TREE else leaves
+
+
+def at_depth(leaves: DataFrame, depth: int, fanout: int = FANOUT) -> DataFrame:
+    """The leaves of a deeper tree as those of a tree of this depth."""
+    return leaves.groupBy((F.col("leaf") % fanout**depth).cast("int").alias("leaf")).agg(*(F.sum(c).alias(c) for c in ("n", "d1", "d2")))
 
 
 def differing_leaves(old: DataFrame, new: DataFrame, fanout: int = FANOUT, depth: int = DEPTH) -> DataFrame:
     """Leaf buckets that differ, found from the root down: a level keeps the children of the differing branches of the level above.
 
-    The trees have a fixed size and lie in one partition each, so no level shuffles.
+    Small trees lie in one partition each, so no level shuffles.
     """
+    small = fanout**depth <= SMALL_TREE
 
     def level(height: int) -> DataFrame:
         at = F.col("leaf") if height == 0 else F.expr(f"leaf div {fanout**height}").cast("int")
         side = lambda x, sign: x.select(at.alias("node"), *((F.col(c) * sign).alias(c) for c in ("n", "d1", "d2")))
-        both = side(old, -1).unionByName(side(new, 1)).coalesce(1)
+        both = side(old, -1).unionByName(side(new, 1))
+        both = both.coalesce(1) if small else both
         return both.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("n", "d1", "d2")))
 
     differs = (F.col("n") != 0) | (F.col("d1") != 0) | (F.col("d2") != 0)
@@ -105,28 +128,89 @@ def versions_of_edits(edits: DataFrame, keys: list[str], old: str, new: str, at:
     return opened.select(*keys, "value", F.col("__t").alias("valid_from"), "valid_to")
 
 
-def apply_edit_snapshot(history: DataFrame | None, old_leaves: DataFrame | None, log: DataFrame, leaves: DataFrame, keys: list[str], old: str, new: str, at: str, order: str) -> DataFrame:
+def apply_edit_snapshot(history: DataFrame | None, old_leaves: DataFrame | None, log: DataFrame, leaves: DataFrame, keys: list[str], old: str, new: str, at: str, order: str, depth: int = DEPTH) -> DataFrame:
     """A stored history (none at first) and the leaves of the log it was made from, brought up to a newer log.
 
     Leaf buckets in which the two snapshots of the edit log agree keep their stored versions
-    unread; in the others the keys' versions are taken from the new log.
+    unread; in the others the keys' versions are taken from the new log. Both trees have the given depth.
     """
     if history is None:
         return versions_of_edits(log, keys, old, new, at, order)
-    changed = F.broadcast(differing_leaves(old_leaves, leaves))
-    kept = history.withColumn("leaf", leaf_of(keys)).join(changed, "leaf", "left_anti").drop("leaf")
-    fresh = log.withColumn("leaf", leaf_of(keys)).join(changed, "leaf", "left_semi").drop("leaf")
+    changed = differing_leaves(old_leaves, leaves, depth=depth)
+    changed = F.broadcast(changed) if FANOUT**depth <= SMALL_TREE else changed
+    leaf = leaf_of(keys, depth=depth)
+    kept = history.withColumn("leaf", leaf).join(changed, "leaf", "left_anti").drop("leaf")
+    fresh = log.withColumn("leaf", leaf).join(changed, "leaf", "left_semi").drop("leaf")
     return kept.unionByName(versions_of_edits(fresh, keys, old, new, at, order))
 
 
 def history_of_edits(edits: DataFrame, keys: list[str], old: str, new: str, at: str, order: str, cuts: list) -> DataFrame:
     """History of an edit log, built snapshot by snapshot: one up to each cut, stored with its tree, then the whole log."""
     history = tree = None
+    depth = tree_depth(edits, keys)
     for cut in cuts:
         log = edits.filter(F.col(at) <= F.lit(cut))
-        leaves = merkle_leaves(log, keys, [old, new, at, order])
-        history, tree = written(apply_edit_snapshot(history, tree, log, leaves, keys, old, new, at, order), "history"), leaves
-    return apply_edit_snapshot(history, tree, edits, merkle_leaves(edits, keys, [old, new, at, order]), keys, old, new, at, order)
+        leaves = merkle_leaves(log, keys, [old, new, at, order], depth=depth)
+        history, tree = written(apply_edit_snapshot(history, tree, log, leaves, keys, old, new, at, order, depth), "history"), leaves
+    return apply_edit_snapshot(history, tree, edits, merkle_leaves(edits, keys, [old, new, at, order], depth=depth), keys, old, new, at, order, depth)
+
+
+def comparison(old_leaves: DataFrame, leaves: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """leaves, differing, rows, rows_read, skipped: how much of a newer snapshot is left unread, as a share of its rows."""
+    changed = differing_leaves(old_leaves, leaves, depth=depth).withColumn("differs", F.lit(1))
+    x = leaves.join(changed, "leaf", "left").select("n", F.coalesce("differs", F.lit(0)).alias("differs"))
+    g = x.agg(F.count(F.lit(1)).alias("leaves"), F.coalesce(F.sum("differs"), F.lit(0)).alias("differing"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") * F.col("differs")), F.lit(0)).alias("rows_read"))
+    return g.withColumn("skipped", F.when(F.col("rows") > 0, 1 - F.col("rows_read") / F.col("rows")).otherwise(1.0))
+
+
+class StoredHistory:
+    """A history and its tree in a folder that all executors share, kept between runs.
+
+    A run writes a new version beside the last one and ends with its tree; a version without a complete tree doesn't count,
+    so a run that fails leaves the one before it in force. The version before the last is deleted.
+    """
+
+    def __init__(self, spark, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self._jvm = spark.sparkContext._jvm
+        self._root = self._jvm.org.apache.hadoop.fs.Path(self.folder)
+        self._fs = self._root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[tuple[int, int]]:
+        """(number, depth) of the complete versions, in order."""
+        if not self._fs.exists(self._root):
+            return []
+        names = [x.getPath().getName().split("-") for x in self._fs.listStatus(self._root)]
+        whole = [(int(n[0]), int(n[1])) for n in names if len(n) == 2 and all(map(str.isdigit, n))]
+        return sorted(v for v in whole if self._fs.exists(self._jvm.org.apache.hadoop.fs.Path(f"{self._at(*v)}/leaves/_SUCCESS")))
+
+    def _at(self, number: int, depth: int) -> str:
+        return f"{self.folder}/{number:09d}-{depth}"
+
+    def read(self) -> DataFrame | None:
+        """The history as the last run left it."""
+        last = self._versions()[-1:]
+        return self.spark.read.parquet(f"{self._at(*last[0])}/history") if last else None
+
+    def update(self, log: DataFrame, keys: list[str], old: str, new: str, at: str, order: str) -> tuple[DataFrame, DataFrame | None]:
+        """The history brought up to a newer log, and comparison() with the log before (none at first)."""
+        before, depth = self._versions(), tree_depth(log, keys)
+        leaves = merkle_leaves(log, keys, [old, new, at, order], depth=depth)
+        history = tree = report = None
+        common, now = depth, leaves
+        if before:
+            common = min(depth, before[-1][1])
+            history, tree = self.read(), self.spark.read.parquet(f"{self._at(*before[-1])}/leaves")
+            tree, now = (x if d == common else at_depth(x, common) for x, d in ((tree, before[-1][1]), (leaves, depth)))
+            report = comparison(tree, now, common)
+        made = apply_edit_snapshot(history, tree, log, now, keys, old, new, at, order, common)
+        to = self._at(before[-1][0] + 1 if before else 1, depth)
+        made.write.mode("overwrite").parquet(f"{to}/history")
+        report = written(report, "comparison") if report is not None else None
+        leaves.write.mode("overwrite").parquet(f"{to}/leaves")
+        for v in before[:-1]:
+            self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(self._at(*v)), True)
+        return self.read(), report
 
 
 def apply_state_snapshot(history: DataFrame, snapshot: DataFrame, keys: list[str], cols: list[str], at: Column) -> DataFrame:
@@ -139,11 +223,14 @@ def apply_state_snapshot(history: DataFrame, snapshot: DataFrame, keys: list[str
     vals = F.struct(*cols)
     now = snapshot.groupBy(*keys).agg(F.max(vals).alias("__now")).select(*keys, *(F.col(f"__now.{c}").alias(c) for c in cols))
     open_rows = history.filter(F.col("valid_to").isNull())
-    leaves = F.broadcast(differing_leaves(merkle_leaves(open_rows, keys, cols), merkle_leaves(now, keys, cols)))
-    h = history.withColumn("leaf", leaf_of(keys))
+    depth = tree_depth(now, keys)
+    leaf = leaf_of(keys, depth=depth)
+    leaves = differing_leaves(merkle_leaves(open_rows, keys, cols, depth=depth), merkle_leaves(now, keys, cols, depth=depth), depth=depth)
+    leaves = F.broadcast(leaves) if FANOUT**depth <= SMALL_TREE else leaves
+    h = history.withColumn("leaf", leaf)
     kept = h.join(leaves, "leaf", "left_anti").drop("leaf")
     touched = h.join(leaves, "leaf", "left_semi").drop("leaf")
-    n = now.withColumn("leaf", leaf_of(keys)).join(leaves, "leaf", "left_semi").select(
+    n = now.withColumn("leaf", leaf).join(leaves, "leaf", "left_semi").select(
         *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), vals.alias("__now")
     )
     on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.history import history_of_edits, history_of_snapshots
+from ..operators.history import comparison, history_of_edits, history_of_snapshots, merkle_leaves, tree_depth
 from ..operators.orphans import dense_numbers, integer_key, orphan_references
 from ..session import join_with_hot_keys
 from ..sources.tables import table
@@ -38,6 +38,19 @@ SELECT memory_id, field, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS valid_from
 FROM o
 """
 
+def p2_tree_report(spark: SparkSession, d: str) -> DataFrame:
+    """How much of the edit log the comparison with the snapshot a day, a week and a month before leaves unread."""
+    edits = table(spark, d, "observation_versions")
+    keys, cols = ["memory_id", "field"], ["old_value", "new_value", "created_at", "id"]
+    depth, newest, out = tree_depth(edits, keys), edits.agg(F.max("created_at").alias("t")), None
+    leaves = merkle_leaves(edits, keys, cols, depth=depth)
+    for days in (1, 7, 30):
+        log = edits.join(F.broadcast(newest)).filter(F.col("created_at") <= F.col("t") - F.make_dt_interval(F.lit(days))).drop("t")
+        x = comparison(merkle_leaves(log, keys, cols, depth=depth), leaves, depth).select(F.lit(days).alias("days"), F.lit(depth).alias("depth"), "leaves", "differing", "rows", "rows_read", "skipped")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
 _SNAPSHOTS = ("2026-03-01 00:00:00", "2026-06-01 00:00:00", "2026-09-01 00:00:00")
 
 
@@ -119,5 +132,5 @@ SELECT CASE WHEN ref_field = 'memory_id' THEN 'observations' ELSE 'code_symbols'
 FROM ({_P5_FOUND}) b JOIN symbol_links l ON l.id = b.link_id GROUP BY ALL
 """
 
-QUERIES = {"p2_found": p2_found, "p2_snapshot_history": p2_snapshot_history, "p5_found": p5_found, "p5_report": p5_report}
+QUERIES = {"p2_found": p2_found, "p2_tree_report": p2_tree_report, "p2_snapshot_history": p2_snapshot_history, "p5_found": p5_found, "p5_report": p5_report}
 SQL = {"p2_found": _P2_FOUND, "p2_snapshot_history": _P2_SNAPSHOT, "p5_found": _P5_FOUND, "p5_report": _P5_REPORT}

@@ -1,7 +1,7 @@
 import datetime as dt
 import random
 
-from basalt.operators.history import apply_state_snapshot, differing_leaves, history_of_edits, history_of_snapshots, merkle_leaves, versions_of_edits
+from basalt.operators.history import StoredHistory, apply_state_snapshot, at_depth, differing_leaves, history_of_edits, history_of_snapshots, merkle_leaves, tree_depth, versions_of_edits
 
 EDITS = "id long, memory_id long, field string, old_value string, new_value string, created_at timestamp_ntz, field2 string"
 T0 = dt.datetime(2026, 1, 1)
@@ -82,3 +82,29 @@ def test_empty_snapshot_ends_all(spark):
     h = history_of_snapshots([("2026-01-01", full), ("2026-02-01", spark.createDataFrame([], s))], ["k"], ["v"])
     assert [str(r.valid_to)[:10] for r in h.collect()] == ["2026-02-01"]
     assert apply_state_snapshot  # part of the public operators
+
+
+def test_depth_follows_the_keys_and_trees_of_two_depths_compare(spark):
+    a = spark.range(40_000).selectExpr("id as k", "id % 7 as v")
+    assert [tree_depth(a.limit(n), ["k"]) for n in (0, 1000, 40_000)] == [2, 2, 3]
+    deep, shallow = merkle_leaves(a, ["k"], ["v"], depth=5), merkle_leaves(a.filter("k <> 4711"), ["k"], ["v"], depth=2)
+    assert differing_leaves(shallow, at_depth(deep, 2), depth=2).count() == 1
+    b = a.selectExpr("k", "case when k = 4711 then 99 else v end as v")
+    assert differing_leaves(deep, merkle_leaves(b, ["k"], ["v"], depth=5), depth=5).count() == 1
+
+
+def test_history_is_kept_between_runs(spark, tmp_path):
+    rows = edits(120, 3)
+    df = spark.createDataFrame(rows, EDITS)
+    store = StoredHistory(spark, f"file://{tmp_path}/kept")
+    assert store.read() is None
+    for k, at in enumerate((1, 3, 3, 1000)):
+        cut = T0 + dt.timedelta(days=at)
+        log = df.filter(df["created_at"].isNull() | (df["created_at"] <= cut))
+        history, report = store.update(log, *ARGS)
+        assert result(history) == result(store.read()) == brute([r for r in rows if r[5] is None or r[5] <= cut])
+        assert (report is None) == (k == 0)
+        if k == 2:
+            assert report.first().skipped == 1.0 and report.first().differing == 0
+    (tmp_path / "kept" / "000000009-2" / "history").mkdir(parents=True)  # a run that failed
+    assert result(store.read()) == brute(rows)
