@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 # Weights, boosts and priorities that define the results.
 FTS_WEIGHT, RECENCY_WEIGHT, TRUST_WEIGHT, RECALL_WEIGHT = 0.4, 0.3, 0.15, 0.15
 DEFAULT_TRUST, RECALL_LOG, USEFULNESS = 0.7, 0.2, 0.15
@@ -99,11 +101,12 @@ def ranked_search(obs: DataFrame, links: DataFrame, recalls: DataFrame, query: s
     if not terms:
         return obs.limit(0).select("id", "title", F.lit(0).alias("tier"), F.lit(0.0).alias("score"))
     text = F.concat_ws(" ", "title", "content")
-    here = with_now(obs, obs)
-    scored = bm25(term_counts(here, terms, text), len(terms))
     inside = F.greatest(*(F.contains(F.lower(text), F.lit(t)).cast("int") for t in terms), F.lit(0))
-    tier = F.when(F.col("matched") == len(terms), 1).when(F.col("matched") > 0, 2).when(inside == 1, 3)
-    found = scored.filter(live(F.col("now")) & in_scope(project)).withColumn("tier", tier).filter(F.col("tier").isNotNull())
+    # statistics, the best tier and the best rows read the counts of this narrow table, not the texts
+    here = term_counts(with_now(obs, obs), terms, text).withColumn("wanted", live(F.col("now")) & in_scope(project)).withColumn("inside", inside)
+    scored = bm25(written(here.select("id", "title", "type", "created_at", "now", "size", "tf", "inside", F.coalesce("wanted", F.lit(False)).alias("wanted")), "counts"), len(terms))
+    tier = F.when(F.col("matched") == len(terms), 1).when(F.col("matched") > 0, 2).when(F.col("inside") == 1, 3)
+    found = scored.filter("wanted").withColumn("tier", tier).filter(F.col("tier").isNotNull())
     best = F.broadcast(found.agg(F.min("tier").alias("__best")))
     rank = F.when(F.col("tier") < 3, F.col("relevance")).otherwise(F.unix_timestamp("created_at").cast("double"))
     top = found.join(best, F.col("tier") == F.col("__best")).withColumn("__rank", rank).orderBy(F.desc("__rank"), "id").limit(min(3 * limit, 50))
@@ -120,22 +123,51 @@ def trigrams(text: Column) -> Column:
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:
-    """Shared trigrams over the larger set's; sets without any compare as texts elsewhere."""
+    """Shared trigrams over the larger set's; 0 where neither has any."""
     return F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b), F.lit(1))
 
 
 def duplicate_titles(obs: DataFrame, threshold: float = 0.6, candidates: int = 20) -> DataFrame:
     """id, other_id, similarity: each live memory's titles alike among the newest earlier ones of its project and type.
 
-    The candidates are the ``candidates`` rows before it in (created_at, id); a window frame, so no pairs are joined.
+    The candidates are the ``candidates`` rows before it in (created_at, id); a window frame, so no pairs are joined. Titles without trigrams are alike if they are the same but for case and blanks around.
     """
-    x = obs.filter(F.col("deleted_at").isNull() & F.col("project").isNotNull()).select("id", "project", "type", "created_at", trigrams(F.col("title")).alias("g"))
+    whole = F.lower(F.trim(F.coalesce("title", F.lit(""))))
+    x = obs.filter(F.col("deleted_at").isNull() & F.col("project").isNotNull()).select("id", "project", "type", "created_at", trigrams(F.coalesce("title", F.lit(""))).alias("g"), whole.alias("t"))
+    x = x.withColumn("t", F.when(F.size("g") == 0, F.col("t")))
     w = Window.partitionBy("project", "type").orderBy("created_at", "id").rowsBetween(-candidates, -1)
-    pairs = x.withColumn("before", F.collect_list(F.struct("id", "g")).over(w)).withColumn("c", F.explode("before")).drop("before")
-    sim = F.round(trigram_similarity(F.col("g"), F.col("c.g")), 2)
+    pairs = x.withColumn("before", F.collect_list(F.struct("id", "g", "t")).over(w)).withColumn("c", F.explode("before")).drop("before")
+    sim = F.when(F.col("t").isNotNull() & F.col("c.t").isNotNull(), (F.col("t") == F.col("c.t")).cast("double")).otherwise(F.round(trigram_similarity(F.col("g"), F.col("c.g")), 2))
     return pairs.withColumn("similarity", sim).filter(F.col("similarity") >= threshold).select("id", F.col("c.id").alias("other_id"), "similarity")
 
 
+def pack_newest(rows: DataFrame, group: str, budget: int, batch: int = 256) -> DataFrame:
+    """pack_budget() over all rows of a group from the newest to the oldest, however many there are. rows: group, id, created_at, title, content.
+
+    A round offers the newest of the rows whose title still fits into what is left, a bounded number a group, and takes up where the
+    round before ended; rows whose title doesn't fit never will, so they needn't be offered. The newest of a large group are
+    first found in parts of it. pos counts the rows offered. Null groups are left out; rows without a time are the oldest.
+    """
+    at = F.struct(F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(-(1 << 62))).alias("t"), F.col("id"))
+    rows = rows.filter(F.col(group).isNotNull()).select(group, "id", "title", "content", at.alias("__at"))
+    state = written(rows.select(group).distinct().select(group, F.lit(budget).alias("left"), F.lit(True).alias("first"), F.lit(None).cast(rows.schema["__at"].dataType).alias("seen")), "state")
+    out, base = None, 0
+    while not state.isEmpty():
+        # groups are few against rows: one row each
+        open_ = rows.join(state, group).filter((F.col("seen").isNull() | (F.col("__at") < F.col("seen"))) & (F.col("first") | (F.ceil(F.coalesce(F.length("title"), F.lit(0)) * 2 / 7) <= F.col("left"))))
+        part = Window.partitionBy(group, F.pmod(F.col("id"), F.lit(64))).orderBy(F.desc("__at"))
+        few = open_.withColumn("pos", F.row_number().over(part)).filter(F.col("pos") <= batch)
+        few = few.withColumn("pos", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("__at")))).filter(F.col("pos") <= batch)
+        offered = written(few, "offered")
+        packed = written(pack_budget(offered, group, budget), "packed")
+        done = packed.withColumn("pos", F.col("pos") + base)
+        out, base = done if out is None else out.unionByName(done), base + batch
+        used = packed.groupBy(group).agg(F.sum("tokens").alias("used"))
+        ends = offered.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("seen"), F.min("left").alias("left")).filter(F.col("n") == batch)
+        state = written(ends.join(used, group, "left").select(group, F.greatest(F.col("left") - F.coalesce("used", F.lit(0)), F.lit(0)).cast("int").alias("left"), F.lit(False).alias("first"), "seen"), "state")
+    return out if out is not None else pack_budget(rows.withColumn("pos", F.lit(1)), group, budget)
+
+
 def keep_newest(df: DataFrame, group: str, at: str, keep: int, tie: str = "id") -> DataFrame:
     """df without all but the newest rows of each group."""
     w = Window.partitionBy(group).orderBy(F.col(at).desc_nulls_last(), F.col(tie).desc())
@@ -172,7 +204,8 @@ def evaluate_trust(links: DataFrame, changed_paths: DataFrame, changed_symbols:
 
 def pack_budget(ranked: DataFrame, group: str, budget: int) -> DataFrame:
     """Rows of a group that fit into a token budget, greedily in order of ``pos``: whole (full), else their first 100 characters
-    (cut), else the title only (head); the first row always fits. group, pos, id, tokens, and text columns title and content are needed.
+    (cut), else the title only (head); the first row always fits. group, pos, id, and text columns title and content are needed.
+    Where ranked has the columns left and first, they are what a group has left of its budget, and whether its first row is still to come.
 
     The choice for a row depends on all choices before it, which a window sum can't say; sorted rows stream through instead.
     """
@@ -187,7 +220,7 @@ def pack_budget(ranked: DataFrame, group: str, budget: int) -> DataFrame:
             out = []
             for r in batch.to_pylist():
                 if r[group] != now:
-                    now, left, first = r[group], budget, True
+                    now, left, first = r[group], r.get("left", budget), r.get("first", True)
                 title, body = len(r["title"] or ""), len(r["content"] or "")
                 for mode, n in (("full", tokens(title + body)), ("cut", tokens(title + min(body, 100))), ("head", tokens(title))):
                     if n <= left or first and mode == "full":
@@ -198,7 +231,8 @@ def pack_budget(ranked: DataFrame, group: str, budget: int) -> DataFrame:
             types = [batch.schema.field(group).type, pa.int32(), pa.int64(), pa.string(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[group, "pos", "id", "mode", "tokens"])
 
-    return ranked.select(group, "pos", "id", "title", "content").repartition(group).sortWithinPartitions(group, "pos").mapInArrow(run, schema)
+    more = [c for c in ("left", "first") if c in ranked.columns]
+    return ranked.select(group, "pos", "id", "title", "content", *more).repartition(group).sortWithinPartitions(group, "pos").mapInArrow(run, schema)
 
 
 # Words that no needle of a topic is made of, and how much a compaction keeps.
@@ -242,3 +276,65 @@ def compacted(observations: DataFrame, prompts: DataFrame, sessions: DataFrame,
     fallen = F.when(F.col("__old") & (F.col("trust_score") > 0), F.round(F.greatest(F.lit(0.0), F.col("trust_score") - DECAY), 6)).otherwise(F.col("trust_score"))
     aged = kept_links.join(old, "memory_id", "left").withColumn("trust_score", fallen).select(*links.columns)
     return {"observations": o.drop("__now"), "user_prompts": p, "sessions": s, "links": aged}
+
+
+AUTO_CAPTURED = "**What**: Auto-detected"
+TOPIC_BOOST, NO_CONTEXT = 5, ("progress", "accomplished", "session_summary")
+
+
+def context_order(known: DataFrame, variant: str, project: str | None = None, topic: str | None = None, query: str | None = None, limit: int = 10) -> DataFrame:
+    """place, id: the memories that a context opens with, in one of four orders. known: live memories with recall_count and trust, skills left out.
+
+    cross: of all projects; topic: those of a topic key stand as if their type's priority were 5; query: by how many needles of the topic match;
+    plain: by the priority of the type. What was captured by itself comes last in an order by query. Types that a context doesn't show fall out after the limit.
+    """
+    priority = case_of(F.col("type"), TYPE_PRIORITY, 0)
+    recall, trust, new = F.desc("recall_count"), F.col("trust").desc_nulls_last(), [F.col("created_at").desc_nulls_last(), F.desc("id")]
+    mine = known.filter(F.lower("project") == project.lower()) if project else known
+    auto = F.coalesce(F.startswith("content", F.lit(AUTO_CAPTURED)), F.lit(False)).cast("int")
+    if variant == "cross":
+        top = known.filter("scope = 'project'").withColumn("__p", priority)
+        order = [recall, trust, F.desc("__p"), *new]
+    elif variant == "topic":
+        top = mine.withColumn("__p", F.when(F.col("topic_key") == topic, TOPIC_BOOST).otherwise(priority))
+        order = [recall, F.desc("__p"), trust, *new]
+    elif variant == "query":
+        fields = [F.lower(F.coalesce(c, F.lit(""))) for c in ("topic_key", "title", "content")]
+        hits = sum((F.contains(f, F.lit(n)).cast("int") for n in topic_needles(query) for f in fields), F.lit(0))
+        top = mine.withColumn("__m", hits).withColumn("__a", auto).withColumn("__p", priority).filter("__m > 0").orderBy("__a", F.desc("__m"), *new).limit(limit)
+        order = ["__a", F.desc("__m"), recall, trust, F.desc("__p"), *new]
+    elif variant == "plain":
+        top = mine.withColumn("__p", priority)
+        order = [recall, F.desc("__p"), trust, *new]
+    else:
+        raise ValueError(f"no order of a context: {variant}")
+    # the limit bounds the window to so many rows
+    ranked = top.orderBy(*order).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    return ranked.filter(F.col("type").isNull() | ~F.col("type").isin(*NO_CONTEXT)).select("place", "id")
+
+
+def code_terms(query: str) -> list[str]:
+    """Terms of a query over code: words, and the words that make up a name in camel case; each once."""
+    return list(dict.fromkeys(re.findall(r"[a-z_][a-z0-9_]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", query or "").lower())))
+
+
+def code_search(symbols: DataFrame, calls: DataFrame, imports: DataFrame, query: str, limit: int = 10) -> DataFrame:
+    """id, score: the best symbols for a query whose terms begin words of name, kind, signature and path: three parts relevance, one part how central a symbol is.
+
+    Four times the limit are ranked by relevance; of those, calls and imports are counted (calls: src, dst; imports: src, dst). A query without terms finds nothing.
+    """
+    terms = code_terms(query)
+    if not terms:
+        return symbols.limit(0).select("id", F.lit(0.0).alias("score"))
+    low = F.lower(F.concat_ws(" ", "name", "kind", "signature", "file_path"))
+    tf = F.array(*(F.regexp_count(low, F.lit(f"(?<![a-z0-9]){t}")) for t in terms))
+    counted = written(symbols.select("id", F.regexp_count(low, F.lit("[a-z0-9]+")).alias("size"), tf.alias("tf")), "counts")
+    top = written(bm25(counted, len(terms)).filter("matched > 0").orderBy(F.desc("relevance"), "id").limit(4 * limit).select("id", "relevance"), "top")
+    few = F.broadcast(top.select("id"))  # four times the limit
+    n = lambda edges, side, name: edges.select(F.col(side).alias("id")).join(few, "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias(name))
+    x = top.join(n(calls, "dst", "in"), "id", "left").join(n(imports, "dst", "importers"), "id", "left").join(n(calls, "src", "out"), "id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    x = x.withColumn("c", 2.0 * zero("in") + 1.5 * zero("importers") + 0.25 * zero("out"))
+    best = F.broadcast(x.agg(F.max("c").alias("m")))
+    score = 0.75 * F.col("relevance") / (1 + F.col("relevance")) + 0.25 * F.col("c") / F.when(F.col("m") > 0, F.col("m")).otherwise(1.0)
+    return x.join(best).withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), "id").limit(limit).select("id", "score")

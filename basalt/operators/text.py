@@ -71,6 +71,17 @@ def sections(df: DataFrame, key: str, text: str) -> DataFrame:
     return g
 
 
+def section_bodies(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, section, title (null before the first heading), body: the parts of a Markdown text with their own lines. A part is as long as its text at most."""
+    w = Window.partitionBy(key).orderBy("line_no")
+    x = lines(df, key, text).withColumn("fences", F.sum(F.when(F.col("line").rlike("^```"), 1).otherwise(0)).over(w))
+    x = x.withColumn("head", (F.col("fences") % 2 == 0) & F.col("line").rlike("^#{1,6} +[^ ]"))
+    x = x.withColumn("section", F.sum(F.when(F.col("head"), 1).otherwise(0)).over(w))
+    own = F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("line_no", "line"))))
+    g = x.groupBy(key, "section").agg(F.max(F.when(F.col("head"), F.trim(F.regexp_replace("line", "^#+ +", "")))).alias("title"), own.alias("own"))
+    return g.select(key, "section", "title", F.array_join(F.transform("own", lambda r: r["line"]), "\n").alias("body"))
+
+
 def section_parents(sectioned: DataFrame, key: str) -> DataFrame:
     """sectioned with parent: the last section before it of a smaller level, if any. One look back per level, no pairs."""
     w = Window.partitionBy(key).orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
@@ -88,10 +99,14 @@ def log_summary(df: DataFrame, key: str, text: str, top: int = 10) -> DataFrame:
     return g.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top).drop("place")
 
 
-def head_and_tail(df: DataFrame, key: str, text: str, head: int, tail: int) -> DataFrame:
-    """key, line_no, line: the first and last lines of each text."""
-    x = lines(df, key, text)
-    return x.withColumn("n", F.max("line_no").over(Window.partitionBy(key))).filter((F.col("line_no") <= head) | (F.col("line_no") > F.col("n") - tail)).drop("n")
+def head_and_tail(df: DataFrame, key: str, text: str, head: int = 120, tail: int = 80, important: str | None = None, most: int = 50) -> DataFrame:
+    """key, line_no, part, line: the first and last lines of each text, and the first of the important lines between them; a text no longer than both is kept whole."""
+    w = Window.partitionBy(key)
+    hit = F.col("line").rlike(important) if important else F.lit(False)
+    x = lines(df, key, text).withColumn("n", F.max("line_no").over(w)).withColumn("hit", hit)
+    x = x.withColumn("k", F.sum(F.col("hit").cast("int")).over(w.orderBy("line_no")))
+    part = F.when((F.col("n") <= head + tail) | (F.col("line_no") <= head), "head").when(F.col("line_no") > F.col("n") - tail, "tail").when(F.col("hit") & (F.col("k") <= most), "important")
+    return x.withColumn("part", part).filter("part IS NOT NULL").select(key, "line_no", "part", "line")
 
 
 def added_lines(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

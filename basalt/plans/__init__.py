@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("training_core", "memory", "code", "texts", "streams", "more", "inventory")
+_MODULES = ("training_core", "memory", "code", "texts", "streams", "more", "inventory", "parsed")
 
 
 def _merged(what: str) -> dict:

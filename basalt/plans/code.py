@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -237,19 +239,39 @@ def g4(spark, d):
     return G.closure(V.imports(spark, d), _ids(spark, SEED), 3)
 
 
+def _named_walk(name: str, edges: str, depth: int) -> str:
+    """_walk() with its tables named apart."""
+    return re.sub(r"\b([sv])(\d)\b", rf"{name}\1\2", _walk(edges, depth))
+
+
 @_add(
     "g5_blast_radius",
-    f"WITH e AS (SELECT dst AS src, src AS dst FROM calls WHERE confidence >= .7), {_walk('e', 3)} SELECT id, depth FROM v3",
+    f"""WITH e AS (SELECT dst AS src, src AS dst FROM calls WHERE confidence >= .7), m AS (SELECT dst AS src, src AS dst FROM imports), {_named_walk('c', 'e', 3)}, {_named_walk('i', 'm', 3)},
+        u AS (SELECT id, depth, 1 AS calls, 0 AS imports FROM cv3 UNION ALL SELECT id, depth, 0, 1 FROM iv3) SELECT id, min(depth) AS depth, max(calls) AS calls, max(imports) AS imports FROM u GROUP BY id""",
     "calls",
+    "imports",
 )
 def g5(spark, d):
-    back = V.calls(spark, d).filter("confidence >= 0.7").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return G.closure(back, _ids(spark, SEED), 3)
+    """Files that a change reaches within three hops, by sure calls, by imports, or both."""
+    turned = lambda e: e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    c = G.closure(turned(V.calls(spark, d).filter("confidence >= 0.7")), _ids(spark, SEED), 3).withColumn("calls", F.lit(1)).withColumn("imports", F.lit(0))
+    i = G.closure(turned(V.imports(spark, d)), _ids(spark, SEED), 3).withColumn("calls", F.lit(0)).withColumn("imports", F.lit(1))
+    return c.unionByName(i).groupBy("id").agg(F.min("depth").alias("depth"), F.max("calls").alias("calls"), F.max("imports").alias("imports"))
 
 
-@_add("g6_callees", f"WITH {_walk('calls', 3)} SELECT v.id, v.depth, f.path FROM v3 v LEFT JOIN files f ON f.id = v.id", "calls", "files")
+@_add(
+    "g6_call_hierarchy",
+    f"""WITH e AS (SELECT dst AS src, src AS dst FROM calls), {_named_walk('d', 'calls', 3)}, {_named_walk('u', 'e', 3)}, x AS (SELECT 'callees' AS side, * FROM dv3 UNION ALL SELECT 'callers', * FROM uv3)
+        SELECT side, x.id, depth, f.path FROM x LEFT JOIN files f ON f.id = x.id""",
+    "calls",
+    "files",
+)
 def g6(spark, d):
-    return G.closure(V.calls(spark, d), _ids(spark, SEED), 3).join(V.files(spark, d).select("id", "path"), "id", "left")
+    """Callers and callees within three hops; one without a file is kept."""
+    c = V.calls(spark, d)
+    down = G.closure(c, _ids(spark, SEED), 3).withColumn("side", F.lit("callees"))
+    up = G.closure(c.select(F.col("dst").alias("src"), F.col("src").alias("dst")), _ids(spark, SEED), 3).withColumn("side", F.lit("callers"))
+    return down.unionByName(up).join(V.files(spark, d).select("id", "path"), "id", "left").select("side", "id", "depth", "path")
 
 
 @_add(
@@ -456,10 +478,10 @@ def _least_conf(depth: int) -> str:
     return ", ".join(parts)
 
 
-@_add("g28_impact", f"WITH e AS (SELECT dst AS src, src AS dst, confidence FROM calls WHERE confidence >= .5), {_least_conf(4)} SELECT * FROM v4", "calls")
+@_add("g28_impact", f"WITH e AS (SELECT dst AS src, src AS dst, confidence FROM calls WHERE confidence >= .5), {_least_conf(8)} SELECT * FROM v8", "calls")
 def g28(spark, d):
     back = V.calls(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "confidence")
-    return G.least_confidence_paths(back, _ids(spark, SEED), depth=4)
+    return G.least_confidence_paths(back, _ids(spark, SEED), depth=8)
 
 
 @_add(

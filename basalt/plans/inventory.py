@@ -12,6 +12,8 @@ from ..operators import text as T
 from ..operators.resolve import resolve_calls
 from ..sources import views as V
 from ..sources.tables import table
+from .memory import _LIVE, _PRIORITY, _SIGNALS
+from .texts import _LINES
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -433,3 +435,67 @@ def v6(spark, d):
     t = F.right("text", F.lit(262144))
     x = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.sha2(F.concat(F.lit("tsc\u0001"), t), 256).alias("sha"), F.trim(F.replace(F.split(t, "\n")[0], F.lit("\\"), F.lit("/"))).alias("file"))
     return x.filter(~F.startswith("file", F.lit("../")) & ~F.startswith("file", F.lit("/")) & (F.col("file") != "")).groupBy("sha").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"))
+
+
+_TOPIC = "(SELECT min(topic_key) FROM observations WHERE lower(project) = 'heron-core')"
+
+
+def _orders_sql() -> str:
+    fields = ["lower(coalesce(topic_key, ''))", "lower(coalesce(title, ''))", "lower(coalesce(content, ''))"]
+    hits = " + ".join(f"contains({f}, '{n}')::INT" for n in M.topic_needles(_QUERY) for f in fields)
+    new, mine = "created_at DESC NULLS LAST, id DESC", "lower(project) = 'heron-core'"
+    tops = {
+        "cross": f"SELECT *, row_number() OVER (ORDER BY n DESC, trust DESC NULLS LAST, p DESC, {new}) AS place FROM k WHERE scope = 'project'",
+        "topic": f"SELECT *, row_number() OVER (ORDER BY n DESC, CASE WHEN topic_key = {_TOPIC} THEN {M.TOPIC_BOOST} ELSE p END DESC, trust DESC NULLS LAST, {new}) AS place FROM k WHERE {mine}",
+        "plain": f"SELECT *, row_number() OVER (ORDER BY n DESC, p DESC, trust DESC NULLS LAST, {new}) AS place FROM k WHERE {mine}",
+        "query": f"SELECT *, row_number() OVER (ORDER BY a, m DESC, n DESC, trust DESC NULLS LAST, p DESC, {new}) AS place FROM (SELECT *, {hits} AS m, coalesce(starts_with(content, '{M.AUTO_CAPTURED}'), false)::INT AS a FROM k WHERE {mine} AND {hits} > 0 ORDER BY a, m DESC, {new} LIMIT 10) z",
+    }
+    parts = " UNION ALL ".join(f"SELECT '{v}' AS variant, place, id FROM ({q}) y WHERE place <= 10 AND (type IS NULL OR type NOT IN {M.NO_CONTEXT})" for v, q in tops.items())
+    return f"WITH {_SIGNALS}, k AS (SELECT o.*, t.trust, coalesce(r.n, 0) AS n, {_PRIORITY} AS p FROM observations o LEFT JOIN t ON t.memory_id = o.id LEFT JOIN r ON r.memory_id = o.id WHERE {_LIVE} AND type <> 'skill') {parts}"
+
+
+@_add("m6_context_orders", _orders_sql(), "links", "recalls")
+def m6_orders(spark, d):
+    """The first memories of a context in each of its four orders."""
+    o = table(spark, d, "observations")
+    topic = o.filter("lower(project) = 'heron-core'").agg(F.min("topic_key")).first()[0]
+    known = M.signals(M.with_now(o, o).filter(M.live(F.col("now")) & (F.col("type") != "skill")), V.links(spark, d), V.recalls(spark, d))
+    out = None
+    for variant in ("cross", "topic", "plain", "query"):
+        x = M.context_order(known, variant, "heron-core", topic, _QUERY).withColumn("variant", F.lit(variant))
+        out = x if out is None else out.unionByName(x)
+    return out.select("variant", "place", "id")
+
+
+_CODE_QUERY = "staleCache snapshotReader run"
+_CODE_TERMS = M.code_terms(_CODE_QUERY)
+
+
+def _code_search_sql() -> str:
+    n = range(len(_CODE_TERMS))
+    tf = ", ".join(f"len(list_filter(w, lambda x: starts_with(x, '{t}'))) AS tf{i}" for i, t in enumerate(_CODE_TERMS))
+    df = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in n)
+    rel = " + ".join(f"greatest(ln((s.n - s.df{i} + .5) / (s.df{i} + .5)), {M.IDF_FLOOR}) * tf{i} * {M.BM25_K1 + 1} / (tf{i} + {M.BM25_K1} * ({1 - M.BM25_B} + {M.BM25_B} * size / s.avg_size))" for i in n)
+    return f"""WITH w AS (SELECT id, regexp_extract_all(lower(concat_ws(' ', name, kind, signature, file_path)), '[a-z0-9]+') AS w FROM code_symbols), c AS (SELECT id, len(w) AS size, {tf} FROM w), s AS (SELECT count(*) AS n, avg(size) AS avg_size, {df} FROM c),
+      b AS (SELECT c.id, {rel} AS b FROM c, s WHERE {" + ".join(f"tf{i}" for i in n)} > 0 ORDER BY b DESC, c.id LIMIT 40),
+      k AS (SELECT b.id, b.b, 2.0 * (SELECT count(*) FROM calls WHERE dst = b.id) + 1.5 * (SELECT count(*) FROM imports WHERE dst = b.id) + .25 * (SELECT count(*) FROM calls WHERE src = b.id) AS c FROM b), m AS (SELECT CASE WHEN max(c) > 0 THEN max(c) ELSE 1 END AS m FROM k)
+      SELECT id, round(.75 * b / (1 + b) + .25 * c / m, 6)::DOUBLE AS score FROM k, m ORDER BY score DESC, id LIMIT 10"""
+
+
+@_add("m4_code_search", _code_search_sql(), "calls", "imports")
+def m4(spark, d):
+    return M.code_search(table(spark, d, "code_symbols"), V.calls(spark, d), V.imports(spark, d), _CODE_QUERY)
+
+
+#: Fixed value: words that make a line of output important.
+_IMPORTANT = r"(?i)\b(?:error|failed|failure|exception|todo|fixme|warning|deprecated|security|password|token|api\s?key)\b"
+
+
+@_add(
+    "h5_head_tail",
+    f"""WITH {_LINES}, n AS (SELECT *, max(line_no) OVER (PARTITION BY doc_id) AS n, count(*) FILTER (WHERE regexp_matches(line, '{_IMPORTANT}')) OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM l),
+        x AS (SELECT *, CASE WHEN n <= 20 OR line_no <= 12 THEN 'head' WHEN line_no > n - 8 THEN 'tail' WHEN regexp_matches(line, '{_IMPORTANT}') AND k <= 50 THEN 'important' END AS part FROM n) SELECT doc_id, line_no, part, line FROM x WHERE part IS NOT NULL""",
+)
+def h5(spark, d):
+    """Texts cut down to their first and last lines and the important ones between (12, 8 and 50 here, as the tables' texts are short)."""
+    return T.head_and_tail(table(spark, d, "documents"), "doc_id", "text", 12, 8, _IMPORTANT)

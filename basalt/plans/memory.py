@@ -380,11 +380,9 @@ def m6(spark, d):
 
 @_add("m5_packed_context")
 def m5(spark, d):
-    """Newest memories of every project, packed into 2,000 tokens each."""
+    """Memories of every project from the newest on, packed into 2,000 tokens each."""
     o = V.observations(spark, d).filter("deleted_at IS NULL AND project IS NOT NULL")
-    top = M.keep_newest(o.select("id", "project", "created_at", "title", "content"), "project", "created_at", 50)
-    w = Window.partitionBy("project").orderBy(F.col("created_at").desc_nulls_last(), F.desc("id"))
-    return M.pack_budget(top.withColumn("pos", F.row_number().over(w)), "project", 2000)
+    return M.pack_newest(o.select("id", "project", "created_at", "title", "content"), "project", 2000)
 
 
 _TRI = "list_distinct(list_transform(range(1, greatest(length({p}) - 1, 1)), lambda i: substr({p}, i, 3)))"
@@ -392,9 +390,10 @@ _TRI = "list_distinct(list_transform(range(1, greatest(length({p}) - 1, 1)), lam
 
 @_add(
     "m10_duplicate_titles",
-    f"""WITH b AS (SELECT id, project, type, regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') AS p, row_number() OVER (PARTITION BY project, type ORDER BY created_at NULLS FIRST, id) AS k
-        FROM observations WHERE deleted_at IS NULL AND project IS NOT NULL), g AS (SELECT *, {_TRI.format(p='p')} AS g FROM b),
-      x AS (SELECT a.id, b.id AS other_id, round(len(list_intersect(a.g, b.g)) / greatest(len(a.g), len(b.g), 1), 2) AS similarity FROM g a JOIN g b ON a.project = b.project AND a.type = b.type AND b.k BETWEEN a.k - 20 AND a.k - 1)
+    f"""WITH b AS (SELECT id, project, type, regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', '', 'g') AS p, lower(trim(coalesce(title, ''))) AS t, row_number() OVER (PARTITION BY project, type ORDER BY created_at NULLS FIRST, id) AS k
+        FROM observations WHERE deleted_at IS NULL AND project IS NOT NULL), g AS (SELECT *, CASE WHEN length(p) < 3 THEN [] ELSE {_TRI.format(p='p')} END AS g FROM b),
+      x AS (SELECT a.id, b.id AS other_id, CASE WHEN len(a.g) = 0 AND len(b.g) = 0 THEN (a.t = b.t)::INT::DOUBLE ELSE round(len(list_intersect(a.g, b.g)) / greatest(len(a.g), len(b.g), 1), 2) END AS similarity
+        FROM g a JOIN g b ON a.project = b.project AND a.type = b.type AND b.k BETWEEN a.k - 20 AND a.k - 1)
       SELECT * FROM x WHERE similarity >= .6""",
 )
 def m10(spark, d):

@@ -228,16 +228,6 @@ def g26(spark, d):
     return c.union(near(V.imports(spark, d))).union(near(V.calls(spark, d))).distinct()
 
 
-_CAMEL = r"list_filter(string_split(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')"
-
-
-@_add("m4_code_search", f"SELECT id, len(list_filter({_CAMEL}, lambda x: starts_with(x, 'snap') OR starts_with(x, 'clean'))) AS hits FROM code_symbols WHERE hits > 0")
-def m4(spark, d):
-    parts = F.split(F.lower(F.regexp_replace(F.regexp_replace("name", "([a-z0-9])([A-Z])", "$1 $2"), "[^A-Za-z0-9]+", " ")), " ")
-    hits = F.size(F.filter(parts, lambda w: F.startswith(w, F.lit("snap")) | F.startswith(w, F.lit("clean"))))
-    return table(spark, d, "code_symbols").select("id", hits.alias("hits")).filter("hits > 0")
-
-
 @_add("m13_list_items", r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_kind = 'list') SELECT doc_id, trim(regexp_replace(line, '^ *([-*]|[0-9]+[.)]) +', '')) AS item FROM l WHERE regexp_matches(line, '^ *([-*]|[0-9]+[.)]) +')")
 def m13(spark, d):
     mark = r"^ *([-*]|[0-9]+[.)]) +"

@@ -37,12 +37,6 @@ def d1(spark, d):
     return T.sections(table(spark, d, "documents"), "doc_id", "text")
 
 
-@_add("d3_roles", f"WITH {_SECTIONS} SELECT {_case('lower(title)', T.ROLES, 'other')} AS role, count(*) AS sections FROM s WHERE title IS NOT NULL GROUP BY 1")
-def d3(spark, d):
-    s = d1(spark, d).filter("title IS NOT NULL")
-    return s.groupBy(T.first_rule(F.lower("title"), T.ROLES, "other").alias("role")).agg(F.count(F.lit(1)).alias("sections"))
-
-
 @_add("d4_section_parents", f"WITH {_SECTIONS} SELECT x.doc_id, x.section, (SELECT max(y.section) FROM s y WHERE y.doc_id = x.doc_id AND y.section < x.section AND y.level < x.level AND y.level > 0) AS parent FROM s x WHERE x.level > 0")
 def d4(spark, d):
     return T.section_parents(d1(spark, d), "doc_id").filter("level > 0").select("doc_id", "section", "parent")
@@ -54,11 +48,6 @@ def a31(spark, d):
     return table(spark, d, "documents").select("doc_id").join(s, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("sections"))
 
 
-@_add("a11_duplicate_sections", f"WITH {_SECTIONS} SELECT title, count(*) AS copies, min(doc_id) AS first_doc FROM s WHERE title IS NOT NULL GROUP BY title HAVING count(*) > 1")
-def a11(spark, d):
-    return d1(spark, d).filter("title IS NOT NULL").groupBy("title").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc")).filter("copies > 1")
-
-
 @_add("d6_links", r"WITH u AS (SELECT doc_id, unnest(regexp_extract_all(text, 'https?://[A-Za-z0-9._/?=&%-]+')) AS url FROM documents) SELECT doc_id, url, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM u")
 def d6(spark, d):
     x = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("https?://[A-Za-z0-9._/?=&%-]+"), F.lit(0))).alias("url"))
@@ -118,11 +107,6 @@ def h3(spark, d):
     return T.log_summary(table(spark, d, "documents").filter("doc_kind = 'log'"), "doc_id", "text")
 
 
-@_add("h5_head_tail", f"WITH {_LINES}, n AS (SELECT *, max(line_no) OVER (PARTITION BY doc_id) AS n FROM l) SELECT doc_id, line_no, line FROM n WHERE line_no <= 3 OR line_no > n - 2")
-def h5(spark, d):
-    return T.head_and_tail(table(spark, d, "documents"), "doc_id", "text", 3, 2)
-
-
 @_add("h6_diff_lines", f"WITH {_LINES} SELECT doc_id, count(*) FILTER (WHERE regexp_matches(line, '^[+][^+]')) AS added, count(*) FILTER (WHERE regexp_matches(line, '^-[^-]')) AS removed FROM l WHERE doc_id IN (SELECT doc_id FROM documents WHERE doc_kind = 'diff') GROUP BY doc_id")
 def h6(spark, d):
     x = T.lines(table(spark, d, "documents").filter("doc_kind = 'diff'"), "doc_id", "text")

@@ -79,7 +79,7 @@ def _tagged(mods, kind: str):
 class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__()
-        self.sections: list[list] = [[0, "", ""]]
+        self.sections: list[list] = [[0, [], []]]
         self.links: list[tuple[int, str]] = []
         self.silent, self.head = 0, None
 
@@ -87,7 +87,7 @@ class _Page(HTMLParser):
         if tag in ("script", "style"):
             self.silent += 1
         elif re.fullmatch(r"h[1-6]", tag):
-            self.sections.append([int(tag[1]), "", ""])
+            self.sections.append([int(tag[1]), [], []])
             self.head = tag
         elif tag == "a" and (to := dict(attrs).get("href")):
             self.links.append((len(self.sections) - 1, to))
@@ -100,7 +100,7 @@ class _Page(HTMLParser):
 
     def handle_data(self, data):
         if not self.silent:
-            self.sections[-1][1 if self.head else 2] += data
+            self.sections[-1][1 if self.head else 2].append(data)
 
 
 def html_sections(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -114,9 +114,13 @@ def html_sections(df: DataFrame, key: str, text: str) -> DataFrame:
                 page = _Page()
                 page.feed(t or "")
                 page.close()
-                for n, (level, title, body) in enumerate(page.sections):
+                links: dict[int, list[str]] = {}
+                for at, to in page.links:
+                    links.setdefault(at, []).append(to)
+                for n, (level, *parts) in enumerate(page.sections):
+                    title, body = map("".join, parts)
                     if n or body.strip():
-                        rows.append((k, n, level, " ".join(title.split()), " ".join(body.split()), [to for s, to in page.links if s == n]))
+                        rows.append((k, n, level, " ".join(title.split()), " ".join(body.split()), links.get(n, [])))
             types = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[key, "section", "level", "title", "body", "links"])
 
