@@ -53,11 +53,21 @@ def query_terms(query: str, most: int = 5) -> list[str]:
     return list(dict.fromkeys(w for w in plain.split() if len(w) > 2 and w not in STOP_WORDS))[:most]
 
 
+def _spaced(text: Column) -> tuple[Column, Column]:
+    """The text's words (runs of a-z and 0-9, in lower case), each between two blanks of its own, and their number. One pattern pass; all counting is plain replacing."""
+    words = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "  "))
+    size = F.when(words == "", 0).otherwise(F.length(words) - F.length(F.replace(words, F.lit("  "), F.lit(" "))) + 1)
+    return F.concat(F.lit(" "), words, F.lit(" ")), size
+
+
+def _occurrences(text: Column, what: str) -> Column:
+    return ((F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))) / len(what)).cast("int")
+
+
 def term_counts(docs: DataFrame, terms: list[str], text: Column) -> DataFrame:
-    """docs with size (words) and tf (for each term its count); words are runs of a-z and 0-9 in lower case. Counted by patterns, so no word array is built."""
-    low = F.lower(text)
-    tf = F.array(*(F.regexp_count(low, F.lit(f"(?<![a-z0-9]){t}(?![a-z0-9])")) for t in terms))
-    return docs.withColumn("size", F.regexp_count(low, F.lit("[a-z0-9]+"))).withColumn("tf", tf)
+    """docs with size (words) and tf (for each term its count); words are runs of a-z and 0-9 in lower case."""
+    words, size = _spaced(text)
+    return docs.withColumn("size", size).withColumn("tf", F.array(*(_occurrences(words, f" {t} ") for t in terms)))
 
 
 def bm25(counted: DataFrame, n_terms: int) -> DataFrame:
@@ -326,9 +336,8 @@ def code_search(symbols: DataFrame, calls: DataFrame, imports: DataFrame, query:
     terms = code_terms(query)
     if not terms:
         return symbols.limit(0).select("id", F.lit(0.0).alias("score"))
-    low = F.lower(F.concat_ws(" ", "name", "kind", "signature", "file_path"))
-    tf = F.array(*(F.regexp_count(low, F.lit(f"(?<![a-z0-9]){t}")) for t in terms))
-    counted = written(symbols.select("id", F.regexp_count(low, F.lit("[a-z0-9]+")).alias("size"), tf.alias("tf")), "counts")
+    words, size = _spaced(F.concat_ws(" ", "name", "kind", "signature", "file_path"))
+    counted = written(symbols.select("id", size.alias("size"), F.array(*(_occurrences(words, f" {t}") for t in terms)).alias("tf")), "counts")
     top = written(bm25(counted, len(terms)).filter("matched > 0").orderBy(F.desc("relevance"), "id").limit(4 * limit).select("id", "relevance"), "top")
     few = F.broadcast(top.select("id"))  # four times the limit
     n = lambda edges, side, name: edges.select(F.col(side).alias("id")).join(few, "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias(name))
