@@ -26,3 +26,9 @@ def test_matches_sql(spark, name):
     r = c.execute(Q.SQL[name])
     assert Counter(map(tuple, df.collect())) == Counter(r.fetchall())
     assert df.columns == [x[0] for x in r.description]
+
+
+def test_entry_lists_all_queries_of_this_subpackage():
+    import __spark_entry__ as e
+
+    assert Q.QUERIES.keys() <= e.queries().keys() and Q.SQL.keys() <= e.oracle_sql().keys()
