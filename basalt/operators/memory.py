@@ -347,3 +347,45 @@ def code_search(symbols: DataFrame, calls: DataFrame, imports: DataFrame, query:
     best = F.broadcast(x.agg(F.max("c").alias("m")))
     score = 0.75 * F.col("relevance") / (1 + F.col("relevance")) + 0.25 * F.col("c") / F.when(F.col("m") > 0, F.col("m")).otherwise(1.0)
     return x.join(best).withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), "id").limit(limit).select("id", "score")
+
+
+# Fixed values of a clean-up: how sure a relation must be, how old and how little trusted what was captured by itself, and titles that say nothing.
+SURE_RELATION, MIN_AGE_DAYS, LOW_TRUST, TOPIC_GROUP = 0.6, 7, 0.3, 3
+SELF_CAPTURED_TYPES = ("decision", "bugfix", "discovery", "architecture", "pattern")
+NOISE_TITLES = (
+    r"(?i)^Architecture choice:\s*(Done!|OK|Now I|Here's what|All [0-9]+ |The complex|The symlink|Good concern|You're right|Approved)",
+    r"(?i)^Constraint identified:\s*(Here's my review|Two issues|All errors)",
+)
+
+
+def cleaned(obs: DataFrame, relations: DataFrame, links: DataFrame, recalls: DataFrame) -> DataFrame:
+    """id, phase, kept_id: what a clean-up does with each memory, as one snapshot; phase is null for those it leaves as they are.
+
+    Phases in their order, each over what those before it left live: expired; superseded by a live memory through a sure relation; stale progress that was never useful;
+    captured by itself, never useful and little trusted; corrections; noise; topics of three memories and more, consolidated into the oldest
+    (which is then merged); all but the newest session summary of a project. relations: source_id, target_id, confidence. Null ages are young.
+    """
+    x = signals(with_now(obs, obs), links, recalls)
+    gone = F.coalesce(F.col("expires_at") < F.col("now"), F.lit(False))
+    live_ids = x.filter(~gone & F.col("deleted_at").isNull()).select(F.col("id").alias("source_id"))
+    over = relations.filter(F.col("confidence") >= SURE_RELATION).join(live_ids, "source_id", "left_semi").select(F.col("target_id").alias("id"), F.lit(True).alias("__over")).distinct()
+    old = F.coalesce(F.col("created_at") < F.col("now") - F.make_dt_interval(F.lit(MIN_AGE_DAYS)), F.lit(False))
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    unused = F.col("useful_count") == 0
+    noise = F.coalesce(F.col("title"), F.lit(""))
+    phase = (
+        F.when(gone, "expired")
+        .when(F.col("deleted_at").isNotNull(), "deleted")
+        .when(F.col("__over"), "superseded")
+        .when(F.col("type").isin("progress", "accomplished") & unused & old, "stale")
+        .when(F.col("type").isin(*SELF_CAPTURED_TYPES) & unused & F.startswith(low("content"), F.lit(AUTO_CAPTURED.lower())) & (F.col("trust").isNull() | (F.col("trust") < LOW_TRUST)) & old, "auto-detected")
+        .when(F.startswith(low("title"), F.lit("correction:")) & old, "correction")
+        .when((F.col("type") == "decision") & (noise.rlike(NOISE_TITLES[0]) | noise.rlike(NOISE_TITLES[1])), "noise")
+    )
+    x = written(x.join(over, "id", "left").withColumn("phase", phase).select("id", "project", "type", "topic_key", "expires_at", "created_at", "phase"), "phases")
+    topics = x.filter("phase IS NULL AND topic_key <> '' AND expires_at IS NULL AND type NOT IN ('skill', 'session_summary')").withColumn("project", F.coalesce("project", F.lit("\0")))
+    groups = topics.groupBy("topic_key", "project").agg(F.min("id").alias("kept_id"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= TOPIC_GROUP)
+    merged = topics.join(groups, ["topic_key", "project"]).select("id", F.when(F.col("id") == F.col("kept_id"), "merged").otherwise("consolidated").alias("later"), "kept_id")
+    summaries = x.filter("phase IS NULL AND type = 'session_summary'")
+    extra = summaries.join(keep_newest(summaries, "project", "created_at", 1).select("id"), "id", "left_anti").select("id", F.lit("summary").alias("later"), F.lit(None).cast("long").alias("kept_id"))
+    return x.join(merged.unionByName(extra), "id", "left").select("id", F.coalesce("phase", "later").alias("phase"), F.when(F.col("phase").isNull(), F.col("kept_id")).alias("kept_id"))

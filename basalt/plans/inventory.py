@@ -499,3 +499,26 @@ _IMPORTANT = r"(?i)\b(?:error|failed|failure|exception|todo|fixme|warning|deprec
 def h5(spark, d):
     """Texts cut down to their first and last lines and the important ones between (12, 8 and 50 here, as the tables' texts are short)."""
     return T.head_and_tail(table(spark, d, "documents"), "doc_id", "text", 12, 8, _IMPORTANT)
+
+
+def _quoted(x: str) -> str:
+    return x.replace("'", "''")
+
+
+@_add(
+    "m15_cleanup",
+    f"""WITH {_SIGNALS}, rel AS ({_RELATIONS}), a AS (SELECT o.*, t.trust, coalesce(r.u, 0) AS u, coalesce(expires_at < n.now, false) AS gone, coalesce(created_at < n.now - INTERVAL {M.MIN_AGE_DAYS} DAY, false) AS old
+         FROM observations o CROSS JOIN (SELECT max(created_at) AS now FROM observations) n LEFT JOIN t ON t.memory_id = o.id LEFT JOIN r ON r.memory_id = o.id),
+      ov AS (SELECT DISTINCT target_id FROM rel WHERE confidence >= {M.SURE_RELATION} AND source_id IN (SELECT id FROM a WHERE NOT gone AND deleted_at IS NULL)),
+      b AS (SELECT *, CASE WHEN gone THEN 'expired' WHEN deleted_at IS NOT NULL THEN 'deleted' WHEN id IN (SELECT target_id FROM ov) THEN 'superseded' WHEN type IN ('progress', 'accomplished') AND u = 0 AND old THEN 'stale'
+         WHEN type IN {M.SELF_CAPTURED_TYPES} AND u = 0 AND starts_with(lower(content), '{M.AUTO_CAPTURED.lower()}') AND (trust IS NULL OR trust < {M.LOW_TRUST}) AND old THEN 'auto-detected' WHEN starts_with(lower(title), 'correction:') AND old THEN 'correction'
+         WHEN type = 'decision' AND (regexp_matches(title, '{_quoted(M.NOISE_TITLES[0])}') OR regexp_matches(title, '{_quoted(M.NOISE_TITLES[1])}')) THEN 'noise' END AS phase FROM a),
+      g AS (SELECT topic_key, project, min(id) AS kept_id FROM b WHERE phase IS NULL AND topic_key <> '' AND expires_at IS NULL AND type NOT IN ('skill', 'session_summary') GROUP BY 1, 2 HAVING count(*) >= {M.TOPIC_GROUP}),
+      s AS (SELECT id FROM b WHERE phase IS NULL AND type = 'session_summary' QUALIFY row_number() OVER (PARTITION BY project ORDER BY created_at DESC NULLS LAST, id DESC) > 1)
+      SELECT b.id, coalesce(phase, CASE WHEN b.id = g.kept_id THEN 'merged' WHEN g.kept_id IS NOT NULL THEN 'consolidated' WHEN b.id IN (SELECT id FROM s) THEN 'summary' END) AS phase, CASE WHEN phase IS NULL THEN g.kept_id END AS kept_id
+      FROM b LEFT JOIN g ON g.topic_key = b.topic_key AND g.project IS NOT DISTINCT FROM b.project AND b.phase IS NULL AND b.expires_at IS NULL AND b.type NOT IN ('skill', 'session_summary')""",
+    "links",
+    "recalls",
+)
+def m15_cleanup(spark, d):
+    return M.cleaned(table(spark, d, "observations"), relations(spark, d), V.links(spark, d), V.recalls(spark, d))

@@ -43,3 +43,22 @@ def test_unknown_orders_are_refused(spark):
 
     with pytest.raises(ValueError):
         M.context_order(spark.range(1), "other")
+
+
+def test_a_clean_up_goes_phase_by_phase(spark):
+    new, old = T0, T0 - dt.timedelta(days=30)
+    auto = "**What**: Auto-detected x"
+    rows = [
+        (1, "p", "decision", None, new, None, None, "t", "c"), (2, "p", "decision", None, old, None, T0 - dt.timedelta(days=1), "t", "c"), (3, "p", "decision", None, old, old, None, "t", "c"), (4, "p", "config", None, old, None, None, "t", "c"),
+        (5, "p", "progress", None, old, None, None, "t", "c"), (6, "p", "progress", None, old, None, None, "t", "c"), (7, "p", "bugfix", None, old, None, None, "t", auto), (8, "p", "bugfix", None, old, None, None, "t", auto),
+        (9, "p", "note", None, old, None, None, "CORRECTION: y", None), (10, "p", "decision", None, new, None, None, "Architecture choice: OK", "c"), (11, "p", "pattern", "k", new, None, None, "t", "c"), (12, "p", "pattern", "k", new, None, None, None, "c"),
+        (13, "p", "bugfix", "k", old, None, None, "t", "c"), (14, "q", "bugfix", "k", old, None, None, "t", "c"), (15, "p", "session_summary", "k", old, None, None, "t", "c"), (16, "p", "session_summary", None, new, None, None, "t", "c"), (17, "p", "progress", None, new, None, None, "t", "c"),
+    ]
+    obs = spark.createDataFrame(rows, "id long, project string, type string, topic_key string, created_at timestamp_ntz, deleted_at timestamp_ntz, expires_at timestamp_ntz, title string, content string")
+    rel = spark.createDataFrame([(1, 4, 0.6), (1, 13, 0.5), (3, 14, 0.9)], "source_id long, target_id long, confidence double")
+    links = spark.createDataFrame([(7, 0.1), (8, 0.9)], "memory_id long, trust_score double")
+    recalls = spark.createDataFrame([(6, 1), (5, 0)], "memory_id long, was_useful int")
+    got = {r.id: (r.phase, r.kept_id) for r in M.cleaned(obs, rel, links, recalls).collect()}
+    want = {2: "expired", 3: "deleted", 4: "superseded", 5: "stale", 7: "auto-detected", 9: "correction", 10: "noise", 15: "summary"}
+    assert got == {k: (want.get(k), None) for k in range(1, 18) if k not in (11, 12, 13)} | {11: ("merged", 11), 12: ("consolidated", 11), 13: ("consolidated", 11)}
+    assert M.cleaned(obs.limit(0), rel, links, recalls).count() == 0
