@@ -281,3 +281,32 @@ def suggested_edges(answers: DataFrame, body: str, least: float = 0.95) -> DataF
     type_ = F.when(F.col("edge_type").isin("SharedType", "DataFlow", "EventContract"), F.col("edge_type")).otherwise("APIContract")
     sure = F.coalesce("confidence", F.lit(0.5))
     return e.select("id", F.col("entity_b").alias("source"), F.col("entity_a").alias("target"), type_.alias("edge_type"), F.coalesce("reasoning", F.lit("")).alias("reasoning"), sure.alias("confidence"), (sure >= least).alias("accepted"))
+
+
+#: What may stand behind an imported path, in the order in which it is tried.
+IMPORT_ENDINGS = ("", ".js", ".mjs", ".cjs", ".ts", ".mts", ".cts", ".tsx", "/index.js", "/index.ts", "/index.tsx")
+
+
+def joined_path(folder: Column, module: Column) -> Column:
+    """module as seen from a folder, without dots; one that begins with a slash is seen from the root."""
+    parts = F.split(F.when(F.startswith(module, F.lit("/")), module).otherwise(F.concat(folder, F.lit("/"), module)), "/")
+
+    def step(done: Column, p: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(p.isin("", "."), done).when(p == "..", up).otherwise(F.concat(done, F.array(p)))
+
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+
+
+def import_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """imports (path of the importing file, module, and more) with target: the file that a relative module means, by the first ending that exists; null for packages and what isn't there.
+
+    Each import meets the files by its few candidates; the best is kept by the import's own number, so equal imports don't mix.
+    """
+    x = imports.withColumn("__n", F.monotonically_increasing_id())
+    x = written(x, "imports")  # the numbers have to stay
+    near = x.filter(F.startswith("module", F.lit(".")) | F.startswith("module", F.lit("/")))
+    at = joined_path(F.regexp_replace("path", "/?[^/]*$", ""), F.col("module"))
+    c = near.select("__n", at.alias("at"), F.posexplode(F.array(*map(F.lit, IMPORT_ENDINGS))).alias("place", "ending")).select("__n", "place", F.concat("at", "ending").alias("path"))
+    hit = c.join(files.select(F.col("id").alias("target"), "path"), "path").groupBy("__n").agg(F.min_by("target", F.struct("place", "target")).alias("target"))
+    return x.join(hit, "__n", "left").drop("__n")

@@ -522,3 +522,24 @@ def _quoted(x: str) -> str:
 )
 def m15_cleanup(spark, d):
     return M.cleaned(table(spark, d, "observations"), relations(spark, d), V.links(spark, d), V.recalls(spark, d))
+
+
+_MODULES = """SELECT i.src, f.path, CASE i.src % 4 WHEN 0 THEN 'lib' || dst WHEN 1 THEN '../' || split_part(g.path, '/', 2) || '/' || regexp_replace(split_part(g.path, '/', 3), '[.]js$', '') WHEN 2 THEN './../' || split_part(g.path, '/', 2) || '/./' || split_part(g.path, '/', 3)
+  ELSE './' || split_part(g.path, '/', 3) END AS module, CASE i.src % 4 WHEN 1 THEN 'src/' || split_part(g.path, '/', 2) || '/' || regexp_replace(split_part(g.path, '/', 3), '[.]js$', '') WHEN 2 THEN g.path WHEN 3 THEN 'src/' || split_part(f.path, '/', 2) || '/' || split_part(g.path, '/', 3) END AS at
+  FROM (SELECT DISTINCT src, dst FROM imports) i JOIN files f ON f.id = i.src JOIN files g ON g.id = i.dst"""
+
+
+@_add(
+    "g3_import_targets",
+    f"WITH m AS (SELECT row_number() OVER () AS n, * FROM ({_MODULES}) z), e AS (SELECT unnest({list(G.IMPORT_ENDINGS)}) AS ending, unnest(range({len(G.IMPORT_ENDINGS)})) AS place), t AS (SELECT n, arg_min(f.id, place) AS target FROM m CROSS JOIN e JOIN files f ON f.path = m.at || e.ending GROUP BY n) SELECT src, module, target FROM m LEFT JOIN t ON t.n = m.n",
+    "imports",
+    "files",
+)
+def g3(spark, d):
+    """The files that modules of imports mean."""
+    f = V.files(spark, d).select("id", "path")
+    i = V.imports(spark, d).select("src", "dst").distinct().join(f.select(F.col("id").alias("src"), "path"), "src").join(f.select(F.col("id").alias("dst"), F.col("path").alias("to")), "dst")
+    part, k = F.split("to", "/"), F.col("src") % 4
+    bare = F.regexp_replace(part[2], "[.]js$", "")
+    module = F.when(k == 0, F.concat(F.lit("lib"), F.col("dst").cast("string"))).when(k == 1, F.concat(F.lit("../"), part[1], F.lit("/"), bare)).when(k == 2, F.concat(F.lit("./../"), part[1], F.lit("/./"), part[2])).otherwise(F.concat(F.lit("./"), part[2]))
+    return G.import_targets(i.select("src", "path", module.alias("module")), f).select("src", "module", "target")

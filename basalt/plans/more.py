@@ -176,20 +176,6 @@ def u6(spark, d):
     return V.links(spark, d).filter("memory_id IS NOT NULL AND symbol_id IS NOT NULL").groupBy("memory_id", "symbol_id").agg(F.min("id").alias("id"))
 
 
-@_add(
-    "g3_import_targets",
-    """WITH m AS (SELECT id, regexp_replace(regexp_replace(path, '[.]test[.]js$', '.js'), '[.]js$', '') AS stem FROM files), c AS (SELECT m.id, s.suffix, s.place FROM m, (VALUES ('', 1), ('.js', 2), ('.ts', 3), ('.test.js', 4)) s(suffix, place))
-       SELECT c.id, arg_min(f.id, c.place) AS target FROM c JOIN m ON m.id = c.id JOIN files f ON f.path = m.stem || c.suffix GROUP BY c.id""",
-    "files",
-)
-def g3(spark, d):
-    f = V.files(spark, d).select("id", "path")
-    stem = F.regexp_replace(F.regexp_replace("path", r"[.]test[.]js$", ".js"), r"[.]js$", "")
-    suffixes = F.posexplode(F.array(*map(F.lit, ("", ".js", ".ts", ".test.js"))))
-    c = f.select("id", stem.alias("stem"), suffixes.alias("place", "suffix")).select("id", "place", F.concat("stem", "suffix").alias("path"))
-    return c.join(f.select(F.col("id").alias("target"), "path"), "path").groupBy("id").agg(F.min_by("target", "place").alias("target"))
-
-
 @_add(
     "g8_levels",
     """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM imports WHERE src < dst), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), p(id, level) AS (SELECT id, 0 FROM v UNION SELECT e.dst, p.level + 1 FROM p JOIN e ON e.src = p.id)

@@ -95,3 +95,13 @@ def test_deep_walks_have_no_bound(spark):
     names = spark.createDataFrame([(k, k + 1) for k in range(13)] + [(30, 31), (31, 30)], "name long, via long")
     got = {r.name: r.passes for r in G.resolve_aliases(names, spark.createDataFrame([(13, 7)], "name long, target long")).collect()}
     assert got == {13 - k: k for k in range(14)}
+
+
+def test_import_targets(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("a/b", "./c"), ("a/b", "../../../x/y"), ("", "./c/.."), ("a", "/r//s")], "folder string, module string")
+    assert [r[0] for r in df.select(G.joined_path(F.col("folder"), F.col("module"))).collect()] == ["a/b/c", "x/y", "", "r/s"]
+    files = spark.createDataFrame([(1, "a/b.ts"), (2, "a/b.js"), (3, "a/c/index.ts"), (4, "d.tsx")], "id long, path string")
+    asked = spark.createDataFrame([("a/x.js", "./b"), ("a/x.js", "./b.ts"), ("a/x.js", "./c"), ("a/x.js", "../d"), ("a/x.js", "b"), ("x.js", "/a/b"), ("a/x.js", "./none"), ("a/x.js", "./b")], "path string, module string")
+    assert sorted((r.module, r.target or 0) for r in G.import_targets(asked, files).collect()) == sorted([("./b", 2), ("./b.ts", 1), ("./c", 3), ("../d", 4), ("b", 0), ("/a/b", 2), ("./none", 0), ("./b", 2)])
