@@ -248,14 +248,18 @@ def _schemes(n: int, t: float) -> list[tuple[int, int, int]]:
     return [((1, 2, 3), (2, 2, 2), (3, 1, 1))[k] for k in range(own(n), own(math.floor(n / t + 1e-9)) + 1)]
 
 
-def _keys_of(tokens: np.ndarray, level: np.ndarray, t: float) -> list[tuple[int, int]]:
-    """(key, position) pairs of one set, given in the common order. The last two bits of a key tell its scheme; 0 is of all schemes."""
+def _key_arrays(tokens: np.ndarray, level: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and positions of one set, given in the common order. The last two bits of a key tell its scheme; 0 is of all schemes."""
     n = len(tokens)
-    out: list[tuple[int, int]] = []
+    keys, places = [], []
+
+    def put(key: np.ndarray, at: np.ndarray) -> None:
+        keys.append(key)
+        places.append(at)
+
     if n <= SMALL:
-        for k in range(math.ceil(t * n - 1e-9), n + 1):
-            for part in combinations(sorted(tokens.tolist()), k):
-                out.append((hash((k, *part)) & ((1 << 62) - 4) | (1 << 62), 0))
+        own = [hash((k, *part)) & ((1 << 62) - 4) | (1 << 62) for k in range(math.ceil(t * n - 1e-9), n + 1) for part in combinations(sorted(tokens.tolist()), k)]
+        put(np.array(own, np.int64), np.zeros(len(own), np.int64))
     base = n - math.ceil(t * n - 1e-9) + 1
     kinds = 1 + (level >= CLASS_2).astype(np.int64) + (level >= CLASS_3)
     longest, pairs_of_2 = base, False
@@ -270,15 +274,19 @@ def _keys_of(tokens: np.ndarray, level: np.ndarray, t: float) -> list[tuple[int,
                 key, first = _combined(tokens, at, k_of[c])
                 # a combination's tokens are shared together, so its first token bounds the position; before those of class 3
                 # one shared token of class 2 may stand, which has no key of its own where pairs are (one of class 1 has, and so do two of class 2)
-                first = first - int(c == 3 and k2 == 2 and bool((kinds == 2).any()))
-                out += zip((key | scheme).tolist(), first.tolist(), strict=True)
+                put(key | scheme, first - int(c == 3 and k2 == 2 and bool((kinds == 2).any())))
     single = np.nonzero((kinds[:longest] == 1) & (level[:longest] > 0))[0]
-    out += zip((tokens[single] << _U(2)).tolist(), single.tolist(), strict=True)
+    put((tokens[single] << _U(2)).astype(np.int64), single)
     at = np.nonzero(kinds[:longest] == 2)[0]
     if pairs_of_2 and len(at) > 1:
-        key, first = _combined(tokens, at, 2)
-        out += zip(key.tolist(), first.tolist(), strict=True)
-    return out
+        put(*_combined(tokens, at, 2))
+    return np.concatenate(keys), np.concatenate(places)
+
+
+def _keys_of(tokens: np.ndarray, level: np.ndarray, t: float) -> list[tuple[int, int]]:
+    """_key_arrays() as (key, position) pairs."""
+    keys, places = _key_arrays(tokens, level, t)
+    return list(zip(keys.tolist(), places.tolist(), strict=True))
 
 
 def _sign(cols: list[str], size: int, t: float, sketch, bits: int):
@@ -298,8 +306,7 @@ def _sign(cols: list[str], size: int, t: float, sketch, bits: int):
             rank = (doc << _U(48)) | (level.astype(np.uint64) << _U(40)) | (_mix(tokens) >> _U(24))
             by = np.argsort(rank)
             tokens, level = tokens[by], level[by].astype(np.int64)
-            keys: list[int] = []
-            whose, places = [], []
+            keys, whose, places = [], [], []
             for k in range(len(offsets) - 1):
                 a, b = offsets[k], offsets[k + 1]
                 d = int(digests[k])
@@ -308,13 +315,13 @@ def _sign(cols: list[str], size: int, t: float, sketch, bits: int):
                 met[d] = None
                 if len(met) > 1_000_000:
                     met.popitem(last=False)
-                mine = _keys_of(tokens[a:b], level[a:b], t)
-                keys += [m[0] for m in mine]
-                whose += [d] * len(mine)
+                mine, at = _key_arrays(tokens[a:b], level[a:b], t)
+                keys.append(mine)
+                whose.append(np.full(len(mine), d, np.int64))
                 # size and position in one number; a position cut to 16 bits only weakens the filter
-                places += [(int(b - a) << 16) | max(0, min(m[1], 0xFFFF)) for m in mine]
+                places.append((int(b - a) << 16) | np.clip(at, 0, 0xFFFF))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(whose, pa.int64()), pa.array(keys, pa.int64())], names=["place", "digest", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (places, whose, keys)], names=["place", "digest", "key"])
 
     return run
 
