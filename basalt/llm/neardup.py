@@ -248,18 +248,19 @@ def _schemes(n: int, t: float) -> list[tuple[int, int, int]]:
     return [((1, 2, 3), (2, 2, 2), (3, 1, 1))[k] for k in range(own(n), own(math.floor(n / t + 1e-9)) + 1)]
 
 
-def _key_arrays(tokens: np.ndarray, level: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+def _key_lists(tokens: np.ndarray, level: np.ndarray, t: float) -> tuple[list[int], list[int]]:
     """Keys and positions of one set, given in the common order. The last two bits of a key tell its scheme; 0 is of all schemes."""
     n = len(tokens)
-    keys, places = [], []
+    keys: list[int] = []  # a set has few keys, for which lists are faster than arrays
+    places: list[int] = []
 
     def put(key: np.ndarray, at: np.ndarray) -> None:
-        keys.append(key)
-        places.append(at)
+        keys.extend(key.tolist())
+        places.extend(at.tolist())
 
     if n <= SMALL:
         own = [hash((k, *part)) & ((1 << 62) - 4) | (1 << 62) for k in range(math.ceil(t * n - 1e-9), n + 1) for part in combinations(sorted(tokens.tolist()), k)]
-        put(np.array(own, np.int64), np.zeros(len(own), np.int64))
+        keys, places = own, [0] * len(own)
     base = n - math.ceil(t * n - 1e-9) + 1
     kinds = 1 + (level >= CLASS_2).astype(np.int64) + (level >= CLASS_3)
     longest, pairs_of_2 = base, False
@@ -280,13 +281,12 @@ def _key_arrays(tokens: np.ndarray, level: np.ndarray, t: float) -> tuple[np.nda
     at = np.nonzero(kinds[:longest] == 2)[0]
     if pairs_of_2 and len(at) > 1:
         put(*_combined(tokens, at, 2))
-    return np.concatenate(keys), np.concatenate(places)
+    return keys, places
 
 
 def _keys_of(tokens: np.ndarray, level: np.ndarray, t: float) -> list[tuple[int, int]]:
-    """_key_arrays() as (key, position) pairs."""
-    keys, places = _key_arrays(tokens, level, t)
-    return list(zip(keys.tolist(), places.tolist(), strict=True))
+    """_key_lists() as (key, position) pairs."""
+    return list(zip(*_key_lists(tokens, level, t), strict=True))
 
 
 def _sign(cols: list[str], size: int, t: float, sketch, bits: int):
@@ -306,7 +306,9 @@ def _sign(cols: list[str], size: int, t: float, sketch, bits: int):
             rank = (doc << _U(48)) | (level.astype(np.uint64) << _U(40)) | (_mix(tokens) >> _U(24))
             by = np.argsort(rank)
             tokens, level = tokens[by], level[by].astype(np.int64)
-            keys, whose, places = [], [], []
+            keys: list[int] = []
+            places: list[int] = []
+            whose, sizes, counts = [], [], []
             for k in range(len(offsets) - 1):
                 a, b = offsets[k], offsets[k + 1]
                 d = int(digests[k])
@@ -315,13 +317,16 @@ def _sign(cols: list[str], size: int, t: float, sketch, bits: int):
                 met[d] = None
                 if len(met) > 1_000_000:
                     met.popitem(last=False)
-                mine, at = _key_arrays(tokens[a:b], level[a:b], t)
-                keys.append(mine)
-                whose.append(np.full(len(mine), d, np.int64))
-                # size and position in one number; a position cut to 16 bits only weakens the filter
-                places.append((int(b - a) << 16) | np.clip(at, 0, 0xFFFF))
+                mine, at = _key_lists(tokens[a:b], level[a:b], t)
+                keys += mine
+                places += at
+                whose.append(d)
+                sizes.append(int(b - a))
+                counts.append(len(mine))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (places, whose, keys)], names=["place", "digest", "key"])
+                # size and position in one number; a position cut to 16 bits only weakens the filter
+                place = (np.repeat(np.array(sizes, np.int64), counts) << 16) | np.clip(np.array(places, np.int64), 0, 0xFFFF)
+                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(np.repeat(np.array(whose, np.int64), counts), pa.int64()), pa.array(keys, pa.int64())], names=["place", "digest", "key"])
 
     return run
 
