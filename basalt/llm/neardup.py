@@ -12,8 +12,10 @@ get smaller as sets get longer; a set near such a border has the keys of both si
 Frequencies come from a sketch of counters of bounded size: tasks count only the slots of their own tokens, slices are added up apart from each other, and
 counts are cut to 16 levels before they are handed to all tasks. An estimate that is too high changes the order, which costs time but loses nothing, because all
 records use the same order; where counters fill up, the classes start above what collisions alone add. Equal sets are one class from the start: a record is represented by the digest of its
-token set. Candidates pass a length filter and a position filter in the join, then a bitmap filter,
+token set. Where most records are copies, tokens are counted and indexed for one record a class, told by a filter of fixed size. Candidates pass a length filter and a position filter in the join, then a bitmap filter,
 and are verified on the whole sets.
+
+The index is shuffled once, as sorted and packed columns for each range of keys, and joined there; its files go before those of the candidates are written.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import tidy_shuffles, written
 
 _WORD = re.compile(r"[^\W_]+")
 #: Counters of the frequency sketch, as a power of two: 32 a record within these bounds. A counter is half a byte in a task, 128 MB at most.
@@ -47,6 +49,10 @@ KEY_DROPS = 20
 INDEX_RECORDS, INDEX_PARTITIONS = 12_000, 20_000
 #: Bits of the filter of involved records, as a power of two: 8 a record within these bounds, 64 MB at most. A full filter passes all records, which costs time only.
 FILTER_BITS = (20, 29)
+#: Bits of a key's hash in the index; index rows that a task holds before it packs them, and pairs that it holds before it drops repeated ones.
+INDEX_BITS, INDEX_ROWS, PAIR_ROWS = 44, 2_000_000, 1_000_000
+#: Where there are so many records a class, only one of a class is counted and indexed; below, a second count would cost more than it saves.
+COPIES = 2
 _U = np.uint64
 
 
@@ -135,14 +141,14 @@ def _bits(rows: int, each: int, bounds: tuple[int, int]) -> int:
     return min(max((rows * each).bit_length(), bounds[0]), bounds[1])
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Numbers of 32 bits, byte by byte, which packs small numbers well."""
-    return zstandard.ZstdCompressor(level=3).compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+def _pack(x: np.ndarray, width: int = 4) -> bytes:
+    """Numbers of that many bytes, byte by byte, which packs small numbers well."""
+    return zstandard.ZstdCompressor(level=3).compress(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
 
 
-def _unpack(blob: bytes) -> np.ndarray:
+def _unpack(blob: bytes, width: int = 4) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1)
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(f"<u{width}").reshape(-1)
 
 
 class _Slots:
@@ -173,12 +179,12 @@ class _Slots:
                 yield k, _pack(np.diff(self.at[a:b] - np.uint32(k * step), prepend=np.uint32(0))), _pack(np.minimum(self.n[a:b], (1 << 32) - 1))
 
 
-def _count(cols: list[str], size: int, bits: int):
-    """Slices of the sketch of a task's tokens, and a row of (digest, id, size, bitmap) for each record."""
+def _count(cols: list[str], size: int, bits: int, wanted=None, wanted_bits: int = 0):
+    """Slices of the sketch of a task's tokens, and a row of (digest, id, size, bitmap) for each record. wanted: the filter of the records to use, if not all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = _Slots()
-        for batch, offsets, tokens in _batches(batches, cols, size):
+        for batch, offsets, tokens in _batches(_passed(batches, wanted, wanted_bits), cols, size):
             met.add(tokens & _U((1 << bits) - 1))
             b0, b1 = _bitmaps(offsets, tokens)
             rows = batch.num_rows
@@ -289,13 +295,41 @@ def _keys_of(tokens: np.ndarray, level: np.ndarray, t: float) -> list[tuple[int,
     return list(zip(*_key_lists(tokens, level, t), strict=True))
 
 
-def _sign(cols: list[str], size: int, t: float, sketch, bits: int):
-    """(size and position, digest, key) rows; a task emits each set once, as long as it remembers having met it."""
+def _index_key(keys: np.ndarray) -> np.ndarray:
+    """Keys of the index: 44 bits of hash, spread evenly, over the scheme."""
+    keys = keys.view(np.uint64)
+    return _mix(keys) >> _U(64 - INDEX_BITS) << _U(2) | keys & _U(3)
+
+
+def _packed(key: np.ndarray, digest: np.ndarray, place: np.ndarray, partitions: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes, bytes]]:
+    """(range of keys, gaps of the keys, digests, sizes, positions) of index rows."""
+    by = np.argsort(key)
+    key, digest, place = key[by], digest[by], place[by]
+    # multiplied in two steps, for the bits of a key and of a range's number don't fit in 64 together
+    part = ((key >> _U(14)) * _U(partitions) >> _U(INDEX_BITS - 12)).astype(np.int64)
+    edges = np.r_[0, np.nonzero(np.diff(part))[0] + 1, len(part)] if len(part) else np.zeros(1, np.int64)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield int(part[a]), _pack(np.diff(key[a:b], prepend=_U(0)), 8), digest[a:b].astype("<i8").tobytes(), _pack(place[a:b] >> 16), _pack(place[a:b] & 0xFFFF, 2)
+
+
+_INDEX_NAMES = ["part", "keys", "digests", "sizes", "places"]
+_INDEX_DDL = "part int, keys binary, digests binary, sizes binary, places binary"
+
+
+def _sign(cols: list[str], size: int, t: float, sketch, bits: int, partitions: int, wanted=None, wanted_bits: int = 0):
+    """Packed index rows of each set; a task emits each set once, as long as it remembers having met it. wanted: the filter of the records to use, if not all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(zstandard.ZstdDecompressor().decompress(sketch.value), np.uint8)
         met: OrderedDict[int, None] = OrderedDict()
-        for _, offsets, tokens in _batches(batches, cols, size):
+        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            made = list(_packed(*(np.concatenate(x) for x in zip(*waiting, strict=True)), partitions))
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in made], pa.binary() if k else pa.int32()) for k in range(5)], names=_INDEX_NAMES)
+
+        for _, offsets, tokens in _batches(_passed(batches, wanted, wanted_bits), cols, size):
             if not len(tokens):
                 continue
             digests = set_digests(offsets, tokens).view(np.int64)
@@ -326,25 +360,101 @@ def _sign(cols: list[str], size: int, t: float, sketch, bits: int):
             if keys:
                 # size and position in one number; a position cut to 16 bits only weakens the filter
                 place = (np.repeat(np.array(sizes, np.int64), counts) << 16) | np.clip(np.array(places, np.int64), 0, 0xFFFF)
-                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(np.repeat(np.array(whose, np.int64), counts), pa.int64()), pa.array(keys, pa.int64())], names=["place", "digest", "key"])
+                waiting.append((_index_key(np.array(keys, np.int64)), np.repeat(np.array(whose, np.int64), counts), place))
+                if sum(len(x[0]) for x in waiting) > INDEX_ROWS:
+                    yield out()
+        if waiting:
+            yield out()
+
+    return run
+
+
+def _alike(na: np.ndarray, nb: np.ndarray, pa_: np.ndarray, pb: np.ndarray, scheme: np.ndarray, t: float) -> np.ndarray:
+    """Pairs that the length filter, the position filter and the scheme of their key let pass."""
+    larger = np.maximum(na, nb)
+    need = np.ceil(t / (1 + t) * (na + nb) - 1e-9)
+    # the larger set of a pair decides whose keys count
+    own = np.where(larger <= TRIPLES, 1, np.where(larger <= PAIRS, 2, 3))
+    return (np.minimum(na, nb) >= larger * t - 1e-9) & (np.minimum(na - pa_, nb - pb) >= need) & ((scheme == 0) | (scheme == own))
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    by = np.lexsort((b, a))
+    a, b = a[by], b[by]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+def _meet(t: float):
+    """(a, b) of the sets that share a key, from packed index rows of one range of keys; a pair may come more than once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for batch in batches:
+            for keys, digests, sizes, places in zip(*(batch.column(c).to_pylist() for c in _INDEX_NAMES[1:]), strict=True):
+                parts.append((np.cumsum(_unpack(keys, 8), dtype=np.uint64), np.frombuffer(digests, "<i8"), _unpack(sizes), _unpack(places, 2)))
+        if not parts:
+            return
+        key, digest, n, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        by = np.argsort(key)
+        key = key[by]
+        same = np.r_[False, key[1:] == key[:-1], False]
+        shared = same[:-1] | same[1:]  # most keys are of one set only
+        key, by = key[shared], by[shared]
+        digest, n, place = digest[by], n[by].astype(np.int64), place[by].astype(np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            a, b = _distinct(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        at, apart = np.arange(len(key)), 0
+        while len(at):
+            apart += 1
+            at = at[at < len(key) - apart]
+            at = at[key[at] == key[at + apart]]
+            for k in range(0, len(at), PAIR_ROWS):
+                i = at[k : k + PAIR_ROWS]
+                j = i + apart
+                keep = (digest[i] != digest[j]) & _alike(n[i], n[j], place[i], place[j], (key[i] & _U(3)).astype(np.int64), t)
+                x, y = digest[i[keep]], digest[j[keep]]
+                found.append((np.minimum(x, y), np.maximum(x, y)))
+                held += len(x)
+                if held > PAIR_ROWS:
+                    yield out()
+                    held = 0
+        if held:
+            yield out()
 
     return run
 
 
+def _passed(batches: Iterator[pa.RecordBatch], wanted, bits: int) -> Iterator[pa.RecordBatch]:
+    """The rows whose id passes the filter; all rows where there is none."""
+    if wanted is None:
+        yield from batches
+        return
+    held = np.frombuffer(zstandard.ZstdDecompressor().decompress(wanted.value), np.uint8)
+    for whole in batches:
+        ids = whole.column("id").to_numpy().view(np.uint64)
+        keep = np.ones(len(ids), bool)
+        for h in _filter_places(ids, bits):
+            keep &= (held[h >> _U(3)] >> (h & _U(7)).astype(np.uint8)) & 1 == 1
+        yield whole.filter(pa.array(keep))
+
+
 def _involved(cols: list[str], size: int, wanted, bits: int):
     """(id, tokens as bytes) of the records whose id passes the filter of involved records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.frombuffer(zstandard.ZstdDecompressor().decompress(wanted.value), np.uint8)
-        for whole in batches:
-            ids = whole.column("id").to_numpy().view(np.uint64)
-            keep = np.ones(len(ids), bool)
-            for h in _filter_places(ids, bits):
-                keep &= (held[h >> _U(3)] >> (h & _U(7)).astype(np.uint8)) & 1 == 1
-            for batch, offsets, tokens in _batches(iter([whole.filter(pa.array(keep))]), cols, size):
-                raw = np.frombuffer(tokens.astype("<u8").tobytes(), np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                sets = [raw[6 * offsets[k] : 6 * offsets[k + 1]] for k in range(batch.num_rows)]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "tokens"])
+        for batch, offsets, tokens in _batches(_passed(batches, wanted, bits), cols, size):
+            raw = np.frombuffer(tokens.astype("<u8").tobytes(), np.uint8).reshape(-1, 8)[:, :6].tobytes()
+            sets = [raw[6 * offsets[k] : 6 * offsets[k + 1]] for k in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "tokens"])
 
     return run
 
@@ -376,16 +486,16 @@ def _gathered(df: DataFrame, column: str, empty: int) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(b"".join(parts.get(k, bytes(size)) for k in range(_CHUNKS)) if size else bytes(empty))
 
 
-def _filter_of(pairs: DataFrame, bits: int) -> bytes:
-    """Bits of a Bloom filter of the records in pairs; its size doesn't depend on their number."""
+def _filter_of(records: DataFrame, bits: int) -> bytes:
+    """Bits of a Bloom filter of the records that any column names; its size doesn't depend on their number."""
 
     step = (1 << (bits - 3)) // _CHUNKS
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = _Slots()
         for batch in batches:
-            for c in ("ra", "rb"):
-                for h in _filter_places(batch.column(c).to_numpy().view(np.uint64), bits):
+            for ids in batch.columns:
+                for h in _filter_places(ids.to_numpy().view(np.uint64), bits):
                     met.add(h)
         made = list(met.slices(step * 8))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.int32()), pa.array([x[1] for x in made], pa.binary())], names=["chunk", "slots"])
@@ -398,49 +508,56 @@ def _filter_of(pairs: DataFrame, bits: int) -> bytes:
                 np.bitwise_or.at(now.setdefault(k, np.zeros(step, np.uint8)), at >> 3, (1 << (at & 7)).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array(now.keys(), pa.int32()), pa.array([zstandard.ZstdCompressor().compress(x.tobytes()) for x in now.values()], pa.binary())], names=["chunk", "bits"])
 
-    made = pairs.select("ra", "rb").mapInArrow(build, "chunk int, slots binary")
+    made = records.mapInArrow(build, "chunk int, slots binary")
     return _gathered(made.repartition("chunk").mapInArrow(unite, "chunk int, bits binary"), "bits", 1 << (bits - 3))
 
 
-def similar_classes(records: DataFrame, cols: list[str], threshold: float = 0.8, size: int = 5, sketch_bits: int = SKETCH_BITS[1]) -> tuple[DataFrame, DataFrame]:
-    """members (id, digest) and links (a, b, similarity): records by class of equal token sets, and the pairs of
-    classes, as digests with a < b, whose Jaccard similarity is at least the threshold (over 0.5).
-
-    records: id and the text columns, which are joined by a blank; a null text is empty. Words are the longest runs of letters
-    and digits, in lower case. Texts of fewer words than a shingle have no tokens; they are in
-    no class and like nothing. Texts are used whole, and each id once. sketch_bits (10 at least) bounds the sketch to 2 ** sketch_bits counters of half a byte.
-    """
-    sc = records.sparkSession.sparkContext
-    rows = records.select("id", *(F.col(c).alias(f"t{k}") for k, c in enumerate(cols)))
-    names = [f"t{k}" for k in range(len(cols))]
-    n = records.count()
+def _close(rows: DataFrame, names: list[str], threshold: float, size: int, sketch_bits: int):
+    """members, the pairs of classes that pass all filters with a record of each, and the filter of these records with its bits."""
+    sc = rows.sparkSession.sparkContext
+    n = rows.count()
     bits, filter_bits = _bits(n, 32, (min(SKETCH_BITS[0], max(10, sketch_bits)), max(10, sketch_bits))), _bits(n, 8, FILTER_BITS)
     counted = written(rows.mapInArrow(_count(names, size, bits), _COUNT_DDL), "tokens")
-    load = (counted.agg(F.sum("n")).first()[0] or 0) / (1 << bits)
-    sums = counted.filter("chunk is not null").select("chunk", "slots", "counts").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_add_counts(bits, load), "chunk int, levels binary")
-    sketch = sc.broadcast(_gathered(sums, "levels", 1 << (bits - 1)))
     members = counted.filter("n > 0").select("id", "digest")
+    classes = written(counted.filter("n > 0").groupBy("digest").agg(F.min("n").alias("n"), F.min("b0").alias("b0"), F.min("b1").alias("b1"), F.min("id").alias("r")), "classes")
+    made, every = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    parts, used, only = counted, rows, ()
+    if members.count() >= COPIES * max(made, 1):
+        used, bits, id_bits = rows.filter("id is not null"), _bits(made, 32, (min(SKETCH_BITS[0], max(10, sketch_bits)), max(10, sketch_bits))), _bits(made, 8, FILTER_BITS)
+        only = (sc.broadcast(_filter_of(classes.filter("r is not null").select("r"), id_bits)), id_bits)
+        parts = used.mapInArrow(_count(names, size, bits, *only), _COUNT_DDL)
+    else:
+        every = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    load = every / (1 << bits)
+    sums = parts.filter("chunk is not null").select("chunk", "slots", "counts").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_add_counts(bits, load), "chunk int, levels binary")
+    sketch = sc.broadcast(_gathered(sums, "levels", 1 << (bits - 1)))
 
-    partitions = min(max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // INDEX_RECORDS), INDEX_PARTITIONS)
-    signed = rows.mapInArrow(_sign(names, size, threshold, sketch, bits), "place long, digest long, key long").repartition(partitions, "key")
-    x = signed.select("key", F.col("digest").alias("a"), F.shiftright("place", 16).alias("na"), F.col("place").bitwiseAND(0xFFFF).alias("pa"))
-    y = signed.select("key", F.col("digest").alias("b"), F.shiftright("place", 16).alias("nb"), F.col("place").bitwiseAND(0xFFFF).alias("pb"))
-    larger = F.greatest("na", "nb")
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
-    alike = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= larger * threshold - 1e-9) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
-    # the larger set of a pair decides whose keys count
-    scheme = F.col("key").bitwiseAND(3)
-    alike = alike & ((scheme == 0) | (scheme == F.when(larger <= TRIPLES, 1).when(larger <= PAIRS, 2).otherwise(3)))
-    candidates = x.join(y, "key").filter(alike).select("a", "b").distinct()
+    partitions = min(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), made // INDEX_RECORDS), INDEX_PARTITIONS)
+    signed = used.mapInArrow(_sign(names, size, threshold, sketch, bits, partitions, *only), _INDEX_DDL).repartitionById(partitions, F.col("part"))
+    candidates = written(signed.mapInArrow(_meet(threshold), "a long, b long").repartition("a").distinct(), "candidates")
 
-    bits = counted.filter("n > 0").groupBy("digest").agg(F.min("n").alias("n"), F.min("b0").alias("b0"), F.min("b1").alias("b1"), F.min("id").alias("r"))
-    side = lambda s: bits.select(F.col("digest").alias(s), F.col("n").alias(f"n{s}"), F.col("b0").alias(f"x{s}"), F.col("b1").alias(f"y{s}"), F.col("r").alias(f"r{s}"))
+    side = lambda s: classes.select(F.col("digest").alias(s), F.col("n").alias(f"n{s}"), F.col("b0").alias(f"x{s}"), F.col("b1").alias(f"y{s}"), F.col("r").alias(f"r{s}"))
     apart = F.bit_count(F.col("xa").bitwiseXOR(F.col("xb"))) + F.bit_count(F.col("ya").bitwiseXOR(F.col("yb")))
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
     close = candidates.join(side("a"), "a").join(side("b"), "b").filter(apart <= F.col("na") + F.col("nb") - 2 * need)
     close = written(close.select("a", "b", "ra", "rb"), "close")
 
-    wanted = sc.broadcast(_filter_of(close, filter_bits))
+    wanted = sc.broadcast(_filter_of(close.filter("ra is not null and rb is not null").select("ra", "rb"), filter_bits))
+    return members, close, wanted, filter_bits
+
+
+def similar_classes(records: DataFrame, cols: list[str], threshold: float = 0.8, size: int = 5, sketch_bits: int = SKETCH_BITS[1]) -> tuple[DataFrame, DataFrame]:
+    """members (id, digest) and links (a, b, similarity): records by class of equal token sets, and the pairs of
+    classes, as digests with a < b, whose Jaccard similarity is at least the threshold (over 0.5).
+
+    records: id and the text columns, which are joined by a blank; a null text is empty. Words are the longest runs of letters
+    and digits, in lower case. Texts of fewer words than a shingle have no tokens; they are in
+    no class and like nothing. Texts are used whole, and each id once. sketch_bits (10 at least) bounds the sketch to 2 ** sketch_bits counters of half a byte.
+    """
+    rows = records.select("id", *(F.col(c).alias(f"t{k}") for k, c in enumerate(cols)))
+    names = [f"t{k}" for k in range(len(cols))]
+    with tidy_shuffles(records.sparkSession):
+        members, close, wanted, filter_bits = _close(rows, names, threshold, size, sketch_bits)
     tokens = rows.filter("id is not null").mapInArrow(_involved(names, size, wanted, filter_bits), "id long, tokens binary").dropDuplicates(["id"])
     ta, tb = tokens.select(F.col("id").alias("ra"), F.col("tokens").alias("tokens_a")), tokens.select(F.col("id").alias("rb"), F.col("tokens").alias("tokens_b"))
     links = close.join(ta, "ra").join(tb, "rb").mapInArrow(_verify(threshold), "a long, b long, similarity double")

@@ -2,7 +2,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from basalt.llm import neardup as N
 
@@ -127,3 +129,51 @@ def test_slots():
         back |= zip((np.cumsum(N._unpack(slots), dtype=np.int64) + k * ((1 << 20) // N._CHUNKS)).tolist(), N._unpack(counts).tolist(), strict=True)
     at, n = np.unique(x, return_counts=True)
     assert back == dict(zip(at.tolist(), n.tolist(), strict=True))
+
+
+def test_copies_are_indexed_once_and_shuffles_go_when_they_are_read(spark):
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    files = lambda: {str(f) for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(env.blockManager().diskBlockManager().getAllFiles()) if "shuffle_" in str(f)}
+    base = corpus(6, 40, 300, 40)
+    rows = [(i + 100 * k, t) for k in range(5) for i, t in base]
+    df = spark.createDataFrame(rows, "id long, content string").repartition(5, "id")
+    before = files()
+    members, links = N.similar_classes(df, ["content"], 0.6, 3)
+    assert not files() - before
+    assert members.count() == 5 * sum(bool(shingles(t, 3)) for _, t in base)
+    got = [(r.id_a, r.id_b) for r in N.similar_pairs(df, ["content"], 0.6, 3).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 0.6, 3)
+
+
+class Sent:
+    def __init__(self, raw):
+        self.value = zstandard.ZstdCompressor().compress(raw)
+
+
+def test_index_is_packed_and_of_wanted_records_only():
+    r = random.Random(4)
+    texts = [" ".join(f"w{r.randrange(400)}" for _ in range(30)) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600), pa.int64()), pa.array(texts + texts[:150] + ["w1 w2 w3"] * 150)], names=["id", "t0"])
+    wanted = np.zeros(1 << 17, np.uint8)
+    for h in N._filter_places(np.arange(100, dtype=np.uint64), 20):
+        np.bitwise_or.at(wanted, h.astype(np.int64) >> 3, (1 << (h & np.uint64(7))).astype(np.uint8))
+    digests = N.set_digests(*N.token_sets(texts, 1)).view(np.int64).tolist()
+    for only, kept in (((), set(digests)), ((Sent(wanted.tobytes()), 20), set(digests[:100]))):
+        made = [x for out in N._sign(["t0"], 1, 0.6, Sent(b"\x55" * 512), 10, 7, *only)(iter([batch])) for x in out.to_pylist()]
+        rows = [d for x in made for d in np.frombuffer(x["digests"], "<i8").tolist()]
+        assert kept <= set(rows) <= kept | ({N.set_digests(*N.token_sets(["w1 w2 w3"], 1)).view(np.int64).tolist()[0]} if not only else set())
+        assert sum(len(v) for x in made for k, v in x.items() if k != "part") < 16 * len(rows)  # a row of three longs takes 32 bytes
+        for x in made:
+            key = np.cumsum(N._unpack(x["keys"], 8), dtype=np.uint64)
+            assert {int(k >> 2) * 7 >> N.INDEX_BITS for k in key.tolist()} == {x["part"]} and (N._unpack(x["sizes"]) >= 3).all()
+            assert len(key) == len(N._unpack(x["places"], 2)) == len(x["digests"]) // 8
+
+
+def test_pairs_of_a_range_come_once_for_each_key_list():
+    """All pairs of a key, also where more sets share it than a step holds."""
+    n = 50
+    key, digest = np.repeat(np.array([4, 9], np.int64), n), np.tile(np.arange(n, dtype=np.int64) - 20, 2)
+    made = list(N._packed(N._index_key(key), digest, np.full(2 * n, 8 << 16, np.int64), 1))
+    batch = pa.RecordBatch.from_arrays([pa.array([x[k] for x in made], pa.binary() if k else pa.int32()) for k in range(5)], names=N._INDEX_NAMES)
+    got = [(x["a"], x["b"]) for out in N._meet(0.6)(iter([batch])) for x in out.to_pylist()]
+    assert sorted(got) == [(a, b) for a in range(-20, 30) for b in range(a + 1, 30)]
